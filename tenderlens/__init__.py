@@ -1,3 +1,10 @@
 """Contract analytics on Spark: quality, anomaly, search, evaluation, prediction."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel by value, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions.numeric import clean_double
 from tenderlens.runtime import attach, materialize
 
-_ACCURACY = 20_000
+_ACCURACY = 10_000
 _MARGIN = 6.0 / _ACCURACY
 
 
@@ -56,9 +56,11 @@ def exact_quantiles(
             F.when(F.col(f"_v{i}") >= F.col(f"_lo{i}"), F.col(f"_v{i}")).alias("x"),
             F.col(f"_n{i}").alias("n")))
         for i in range(len(names))]))
+    exploded = F.explode(entries) if len(names) > 1 else entries[0]
     counted = (
         attach(base, brackets, by)
-        .select(*by, F.explode(entries).alias("e"))
+        .filter(F.size(entries) > 0)
+        .select(*by, exploded.alias("e"))
         .groupBy(*by, F.col("e.m").alias("m"), F.col("e.n").alias("n"), F.col("e.x").alias("x"))
         .count()
     )
