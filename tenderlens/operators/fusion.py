@@ -51,7 +51,6 @@ def fuse_configs(rankings: Mapping[str, DataFrame], configs: Mapping[str, Mappin
 
 def _rank(parts: DataFrame, total: Column, by: Sequence[str], top_k: int | None, uid: str) -> DataFrame:
     fused = parts.groupBy(*by, uid).agg(F.round(total, SCORE_DIGITS).alias("rrf_score"))
-    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rrf_score"), uid)) if by else \
-        F.row_number().over(Window.orderBy(F.desc("rrf_score"), uid))
-    ranked = fused.withColumn("rank", order)
+    order = Window.partitionBy(*by).orderBy(F.desc("rrf_score"), uid)
+    ranked = fused.withColumn("rank", F.row_number().over(order))
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
