@@ -23,6 +23,7 @@ PREFIXES = [
 
 _NON_ASCII = r"[^\x00-\x7F]"
 _APOSTROPHE = "’"
+_MARK = "\x02"
 
 
 @lru_cache(maxsize=1)
@@ -45,17 +46,19 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 def accent_fold(text: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII.
 
-    Pure ASCII text skips the work; the one-to-many replacements run only on the
-    rare rows that hold such a character.
+    One ``translate`` maps the one-to-one characters and marks the rare one-to-many
+    ones; only rows with a mark take the slower replacement path, and pure ASCII
+    rows skip everything.
     """
     source, target, multi = _fold_tables()
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in multi])
-    expanded = F.when(
-        text.rlike("[" + "".join(a for a, _ in multi) + "]"),
-        F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["a"], p["b"])),
-    ).otherwise(text)
-    folded = F.regexp_replace(F.translate(expanded, source, target), _NON_ASCII, "")
-    return F.when(text.rlike(_NON_ASCII), folded).otherwise(text)
+    wide = "".join(a for a, _ in multi)
+    once = F.translate(text, source + wide, target + _MARK * len(wide))
+    # One literal, cut by a constant-folded split: "<char><replacement>" per entry.
+    entries = F.split(F.lit("\x01".join(a + b for a, b in multi)), "\x01")
+    expanded = F.aggregate(entries, text, lambda acc, e: F.replace(
+        acc, F.substring(e, 1, 1), F.substring(e, 2, 32)))
+    folded = F.when(F.contains(once, F.lit(_MARK)), F.translate(expanded, source, target)).otherwise(once)
+    return F.when(text.rlike(_NON_ASCII), F.regexp_replace(folded, _NON_ASCII, "")).otherwise(text)
 
 
 def strip_space(text: Column) -> Column:

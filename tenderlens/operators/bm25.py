@@ -74,8 +74,8 @@ def bm25_rank(corpus: DataFrame, queries: DataFrame, k: int = 50, text: str = "o
     query that matches fewer than k documents is filled up with documents of score
     zero in uid order, without scoring every (query, document) pair.
     """
-    asked = materialize(queries.filter(F.trim("texte_libre") != "").select(
-        "query_id", "filter_id", tokens(F.col("texte_libre")).alias("words")), "asked")
+    asked = queries.filter(F.trim("texte_libre") != "").select(
+        "query_id", "filter_id", tokens(F.col("texte_libre")).alias("words"))
     docs = tokenised(corpus, text)
     corpora = materialize(corpus_stats(docs), "corpora")
     terms = term_stats(docs, corpora)
@@ -103,9 +103,8 @@ def bm25_rank(corpus: DataFrame, queries: DataFrame, k: int = 50, text: str = "o
                  best, ["query_id", "uid"], "left_anti").select("query_id", "uid", F.lit(0.0).alias("bm25_score"))]
     # Negative scores (possible when most words are in most documents) rank below
     # zero; a query full of them needs its complete match list to know its zeros.
-    hard = materialize(asked.join(
-        found.filter((F.col("_n") >= k) & (F.col("_min") < 0)), "query_id").select(
-        "query_id", "filter_id"), "hard")
+    hard = asked.join(found.filter((F.col("_n") >= k) & (F.col("_min") < 0)), "query_id").select(
+        "query_id", "filter_id")
     if not hard.isEmpty():
         matched = _scores(docs, query_terms.join(hard, ["query_id", "filter_id"], "left_semi"))
         zeros = hard.join(docs.select("filter_id", "uid"), "filter_id").join(

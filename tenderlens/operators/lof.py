@@ -35,6 +35,6 @@ def lof(scaled: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     """Adds ``anomaly_score_lof`` and ``is_anomaly_lof``."""
     points = materialize(collapse_points(scaled, columns, by, uid), "points")
     neighbours = materialize(knn_self(points, columns, n_neighbors, by, cell_points), "neighbours")
-    scores = materialize(lof_scores(points, neighbours, columns, by), "lof")
+    scores = lof_scores(points, neighbours, columns, by)
     scored = materialize(scaled.join(scores, [*by, *columns], "left"), "lof_rows")
     return flag_lowest(scored, "anomaly_score_lof", "is_anomaly_lof", contamination, by)

@@ -60,7 +60,6 @@ def feature_matrix(df: DataFrame, tie_break: Sequence[str], log_scale: bool = Fa
     if log_scale:
         logged = ("montant", "montant_ratio_mediane_cpv")
         out = out.withColumns({c: signed_log(F.col(c)) for c in logged})
-    out = materialize(out, "features")
     medians = exact_quantiles(out, {f"_med_{c}": (c, 0.5) for c in FEATURES}, by)
     filled = attach(out, medians, by).withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in FEATURES})

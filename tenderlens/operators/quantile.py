@@ -1,9 +1,10 @@
 """Exact quantiles of arbitrarily large groups.
 
 The built-in exact percentile keeps every distinct value of a group in one
-buffer.  Here a bounded sketch first brackets the answer, then one partial
-aggregation counts what lies below the bracket and keeps the few values inside
-it, and a running count picks the exact order statistics.
+buffer, so it serves only while the largest group is known to be small.  Beyond
+that a bounded sketch brackets the answer, one partial aggregation counts what
+lies below the bracket and keeps the few values inside it, and a running count
+picks the exact order statistics.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tenderlens.runtime import attach, materialize
 
 _ACCURACY = 10_000
 _MARGIN = 6.0 / _ACCURACY
+BUFFER_ROWS = 200_000  # largest group handed to the built-in percentile
 
 
 def exact_quantiles(
@@ -25,6 +27,7 @@ def exact_quantiles(
     specs: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
     size_as: str | None = None,
+    buffer_rows: int = BUFFER_ROWS,
 ) -> DataFrame:
     """One row per ``by`` key with a linearly interpolated quantile per spec.
 
@@ -50,6 +53,13 @@ def exact_quantiles(
             F.when(F.col(f"_n{i}") > _ACCURACY, F.col(f"_b{i}")[1])
             .otherwise(F.lit(float("inf"))).alias(f"_hi{i}"))]), "brackets")
 
+    largest = brackets.agg(F.max(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(names))]))).first()[0]
+    if (largest or 0) <= buffer_rows:
+        values = base.groupBy(*by).agg(*[
+            F.percentile(f"_v{i}", q).alias(n) for i, (n, (_, q)) in enumerate(specs.items())],
+            *([F.count(F.lit(1)).alias(size_as)] if size_as else []))
+        return materialize(values, "quantiles")
+
     entries = F.array_compact(F.array(*[
         F.when(F.col(f"_v{i}") <= F.col(f"_hi{i}"), F.struct(
             F.lit(i).alias("m"),

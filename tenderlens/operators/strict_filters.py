@@ -29,8 +29,8 @@ def with_filter_id(parsed: DataFrame) -> DataFrame:
 def _pairs(corpus: DataFrame, filters: DataFrame, region: str) -> DataFrame:
     """Rows with every filter of their region or of no region: an equi-join.
 
-    The filter side is a stored table of distinct filters, so Spark knows its size
-    and broadcasts it only below its own limit.
+    The filters derive from stored tables, so Spark knows their size and broadcasts
+    them only below its own limit.
     """
     keys = F.array_compact(F.array(F.lit(_ANY), F.col(region))) if region in corpus.columns \
         else F.array(F.lit(_ANY))
@@ -49,9 +49,9 @@ def apply_strict_filters(corpus: DataFrame, parsed: DataFrame, tie_break: Sequen
     if "pop" not in corpus.columns:
         corpus = corpus.withColumn("pop", F.lit("all"))
     wanted = F.coalesce("region", F.lit(_ANY)) if region in corpus.columns else F.lit(_ANY)
-    filters = materialize(parsed.select(
+    filters = parsed.select(
         "filter_id", "pop", wanted.alias("region_key"), "montant_min",
-        F.col("montant_eleve_qualitatif").alias("high")).distinct(), "filters")
+        F.col("montant_eleve_qualitatif").alias("high")).distinct()
     high = filters.filter(F.col("high") & F.col("montant_min").isNull())
     cuts = exact_quantiles(
         _pairs(corpus.select("pop", amount, *([region] if region in corpus.columns else [])),

@@ -20,12 +20,12 @@ BM25_WEIGHT, VECTOR_WEIGHT = "bm25", "embeddings"
 
 @dataclass
 class SearchParts:
-    """Stored intermediate tables of one search over many queries."""
+    """Intermediate tables of one search over many queries; the costly ones are stored."""
 
     parsed: DataFrame      # query_id, filter_id, parsed columns
     subset: DataFrame      # filter_id, uid and corpus columns, one row per contract
-    bm25: DataFrame        # query_id, uid, rank
-    vectors: DataFrame     # query_id, uid, rank
+    bm25: DataFrame        # query_id, by columns, uid, rank
+    vectors: DataFrame     # query_id, by columns, uid, rank
     n_corpus: DataFrame    # pop, n
 
 
@@ -37,15 +37,14 @@ def search_parts(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, quer
 
     ``queries``: query_id, requete and optionally pop.  ``vectors``: uid, vec;
     ``query_vectors``: query_id, qvec.  ``by`` names extra columns (such as model)
-    that vectors and query vectors share; the vector ranking keeps them.
+    that vectors and query vectors share; both rankings then carry them.
     """
     parsed = materialize(with_filter_id(parse_queries(queries)), "parsed")
     if "pop" not in corpus.columns:
         corpus = corpus.withColumn("pop", F.lit("all"))
     subset = materialize(apply_strict_filters(corpus, parsed, tie_break), "subset")
     texted = parsed.filter(F.trim("texte_libre") != "")
-    bm25 = materialize(bm25_rank(subset, texted, bm25_candidates,
-                                 include_zero_scores=include_zero_scores), "bm25")
+    bm25 = bm25_rank(subset, texted, bm25_candidates, include_zero_scores=include_zero_scores)
     by = list(by)
     held = subset.select("filter_id", "uid").join(vectors.select("uid", *by, "vec"), "uid")
     asked = texted.select("query_id", "filter_id").join(
@@ -58,7 +57,8 @@ def search_parts(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, quer
                        ["filter_id", *by])
     if by:
         near = near.withColumnRenamed("query_id", "_pair").join(pairs, "_pair").drop("_pair")
-    near = materialize(near.select("query_id", *by, "uid", "score", "rank"), "near")
+        bm25 = bm25.join(pairs.drop("_pair"), "query_id")
+    near = near.select("query_id", *by, "uid", "score", "rank")
     return SearchParts(parsed, subset, bm25, near, corpus.groupBy("pop").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -92,10 +92,7 @@ def hybrid_results(parts: SearchParts, top_k: int = 20, weights: Sequence[float]
                    by: Sequence[str] = ()) -> DataFrame:
     """Fused top-k with corpus columns, rrf_score and rank."""
     by = list(by)
-    bm25 = parts.bm25
-    if by:
-        bm25 = bm25.join(parts.vectors.select("query_id", *by).distinct(), "query_id")
-    fused = reciprocal_rank_fusion([bm25, parts.vectors], weights=weights,
+    fused = reciprocal_rank_fusion([parts.bm25, parts.vectors], weights=weights,
                                    by=["query_id", *by], top_k=top_k)
     if not by:
         fused = fused.unionByName(_unranked(parts, top_k))
