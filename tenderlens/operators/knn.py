@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -92,32 +92,47 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, ids: np.ndarray,
-             k: int, radius: np.ndarray | None, same: np.ndarray | None) -> Iterator[tuple]:
-    """Per query: indices and distances of its nearest points, up to weight ``k``.
-
-    ``same`` gives the index of the query's own point, of which one copy is itself.
-    ``radius`` keeps only points that could still improve a known bound.
+             k: int, radius: np.ndarray | None = None,
+             same: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Nearest points of every query until their weights add up to ``k``.
+
+    Returns flat (query row, point row, distance, weight) and per query the radius
+    within which its k nearest lie (infinite when these points do not suffice).
+    ``same`` gives the row of a query's own point, of which one copy is itself;
+    ``radius`` drops points that cannot improve a known bound.
     """
-    order_of_id = np.empty(len(ids), dtype="int64")
-    order_of_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    id_order = np.empty(len(ids), dtype="int64")
+    id_order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    out = []
+    reach = np.full(len(queries), np.inf)
     for start in range(0, len(queries), _CHUNK):
-        block = slice(start, min(start + _CHUNK, len(queries)))
-        distance = _distances(queries[block], points)
-        # Every weight but the query's own is >= 1, so k + 1 smallest suffice; ties
-        # at the last distance are all kept until the id decides.
-        reach = min(k, distance.shape[1] - 1)
-        last = np.partition(distance, reach, axis=1)[:, reach]
+        rows = np.arange(start, min(start + _CHUNK, len(queries)))
+        distance = _distances(queries[rows], points)
+        n = distance.shape[1]
+        # Each other point weighs at least 1, so the k + 1 smallest suffice unless
+        # further points tie with the last of them; such rows widen the cut.
+        width = min(k + 1, n)
+        while True:
+            near = np.argpartition(distance, width - 1, axis=1)[:, :width] if width < n else \
+                np.broadcast_to(np.arange(n), distance.shape)
+            gap = np.take_along_axis(distance, near, axis=1)
+            order = np.lexsort((id_order[near], gap), axis=-1)
+            near, gap = np.take_along_axis(near, order, axis=1), np.take_along_axis(gap, order, axis=1)
+            if width == n or not ((distance <= gap[:, -1:]).sum(axis=1) > width).any():
+                break
+            width = min(n, int((distance <= gap[:, -1:]).sum(axis=1).max()))
+        weight = weights[near].astype("int64")
+        if same is not None:
+            weight = weight - (near == same[rows][:, None])
+        total = np.cumsum(weight, axis=1)
+        used = (weight > 0) & (total - weight < k)
         if radius is not None:
-            last = np.minimum(last, radius[block])
-        for row in range(distance.shape[0]):
-            near = np.flatnonzero(distance[row] <= last[row])
-            near = near[np.lexsort((order_of_id[near], distance[row, near]))]
-            heavy = weights[near].astype("int64")
-            if same is not None:
-                heavy = heavy - (near == same[start + row])
-            before = np.cumsum(heavy) - heavy
-            used = (heavy > 0) & (before < k)
-            yield near[used], distance[row, near[used]], heavy[used], bool(heavy.sum() >= k)
+            used &= gap <= radius[rows][:, None]
+        full = total[:, -1] >= k
+        reach[rows] = np.where(full, np.where(used, gap, 0.0).max(axis=1), np.inf)
+        r, c = np.nonzero(used)
+        out.append((rows[r], near[r, c], gap[r, c], weight[r, c]))
+    return (*(np.concatenate(parts) for parts in zip(*out, strict=True)), reach)
 
 
 def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (),
@@ -190,40 +205,42 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
                      for c in by)
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Neighbours within the cell, then the (point, other cell) requests."""
         cells, low, high, k_here = shared.value[key_of(pdf)]
-        own = int(pdf["cell"].iloc[0])
-        xs, ids, weights = pdf[names].to_numpy("float64"), pdf["pid"].to_numpy(), pdf["w"].to_numpy()
-        found = list(_nearest(xs, xs, weights, ids, k_here, None, np.arange(len(xs)))) if k_here else [
-            (np.array([], int), np.array([]), np.array([], int), True)] * len(xs)
-        radius = np.array([d[-1] if full and len(d) else (0.0 if full else np.inf)
-                           for _, d, _, full in found])
-        others = cells != own
-        targets: list = [[]] * len(xs)
-        # Boxes that the bulk of the balls could touch, then per point among those.
+        xs, ids = pdf[names].to_numpy("float64"), pdf["pid"].to_numpy()
+        if k_here == 0:
+            return pd.DataFrame(columns=[*by, *names, "pid", "radius", "cell", "nid", "d", "w"])
+        row, col, d, w, radius = _nearest(
+            xs, xs, pdf["w"].to_numpy(), ids, k_here, same=np.arange(len(xs)))
+        others = cells != int(pdf["cell"].iloc[0])
+        ask_row, ask_cell = [], []
+        # Boxes that a run of similar balls could touch, then per point among those.
         order = np.argsort(radius, kind="stable")
         for part in np.array_split(order, max(1, len(order) // 128)):
-            if not len(part):
-                continue
             reach = radius[part].max()
             near_low, near_high = xs[part].min(axis=0) - reach, xs[part].max(axis=0) + reach
             maybe = np.flatnonzero(others & (low <= near_high).all(axis=1) & (high >= near_low).all(axis=1))
             gap = np.maximum(low[maybe][None] - xs[part][:, None], 0.0)
             gap = np.maximum(gap, xs[part][:, None] - high[maybe][None])
-            touched = np.sqrt((gap**2).sum(axis=2)) <= radius[part][:, None] * (1 + 1e-12)
-            for i, row in zip(part, touched, strict=True):
-                targets[i] = cells[maybe[row]].tolist()
+            i, c = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= radius[part][:, None] * (1 + 1e-12))
+            ask_row.append(part[i])
+            ask_cell.append(cells[maybe[c]])
+        asks = np.concatenate(ask_row)
+        rows = np.concatenate([row, asks])
         return pd.DataFrame({
-            **{c: pdf[c].to_numpy() for c in by}, **{c: pdf[c].to_numpy() for c in names},
-            "pid": ids, "radius": radius, "targets": targets,
-            "nids": [ids[i].tolist() for i, _, _, _ in found],
-            "ds": [d.tolist() for _, d, _, _ in found],
-            "ws": [w.tolist() for _, _, w, _ in found]})
-
+            **{c: pdf[c].to_numpy()[rows] for c in by}, **{c: pdf[c].to_numpy()[rows] for c in names},
+            "pid": ids[rows], "radius": radius[rows],
+            "cell": np.concatenate([np.full(len(row), -1), *ask_cell]).astype("int32"),
+            "nid": np.concatenate([ids[col], ids[asks]]),
+            "d": np.concatenate([d, np.zeros(len(asks))]),
+            "w": np.concatenate([w, np.zeros(len(asks), dtype="int64")])})
+
+    # Rows with cell -1 are neighbours, the others ask that cell.
     local = materialize(placed.groupBy(*by, "cell").applyInPandas(
-        inside, f"{by_ddl}{x_ddl}pid {pid_type}, radius double, targets array<int>, "
-                f"nids array<{pid_type}>, ds array<double>, ws array<long>"), "knn_local")
+        inside, f"{by_ddl}{x_ddl}pid {pid_type}, radius double, cell int, nid {pid_type}, d double, w long"),
+        "knn_local")
 
-    requests = local.select(*by, *names, "pid", "radius", F.explode("targets").alias("cell"))
+    requests = local.filter("cell >= 0").select(*by, *names, "pid", "radius", "cell")
     load = materialize(requests.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / REQUEST_ROWS).cast("int").alias("parts")), "knn_load")
     asked = requests.join(load, "cell").withColumn(
@@ -234,24 +251,18 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
     def across(req: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if req.empty or pdf.empty:
             return pd.DataFrame({c: [] for c in [*by, "pid", "nid", "d", "w"]})
-        k_here = shared.value[key_of(req)][3]
         ids = pdf["pid"].to_numpy()
-        found = list(_nearest(req[names].to_numpy("float64"), pdf[names].to_numpy("float64"),
-                              pdf["w"].to_numpy(), ids, k_here, req["radius"].to_numpy(), None))
-        lengths = [len(i) for i, _, _, _ in found]
-        picked = np.concatenate([i for i, _, _, _ in found]).astype(int)
-        rows = np.repeat(np.arange(len(req)), lengths)
-        return pd.DataFrame({
-            **{c: req[c].to_numpy()[rows] for c in by}, "pid": req["pid"].to_numpy()[rows],
-            "nid": ids[picked], "d": np.concatenate([d for _, d, _, _ in found]),
-            "w": np.concatenate([w for _, _, w, _ in found]).astype("int64")})
+        row, col, d, w, _ = _nearest(
+            req[names].to_numpy("float64"), pdf[names].to_numpy("float64"), pdf["w"].to_numpy(), ids,
+            shared.value[key_of(req)][3], radius=req["radius"].to_numpy())
+        return pd.DataFrame({**{c: req[c].to_numpy()[row] for c in by}, "pid": req["pid"].to_numpy()[row],
+                             "nid": ids[col], "d": d, "w": w})
 
     remote = asked.select(*by, "cell", "part", *names, "pid", "radius").groupBy("cell", "part").cogroup(
         held.select(*by, "cell", "part", *names, "pid", "w").groupBy("cell", "part")
     ).applyInPandas(across, f"{by_ddl}pid {pid_type}, nid {pid_type}, d double, w long")
 
-    near = local.select(*by, "pid", F.inline(F.arrays_zip("nids", "ds", "ws"))).toDF(
-        *by, "pid", "nid", "d", "w").unionByName(remote)
+    near = local.filter("cell < 0").select(*by, "pid", "nid", "d", "w").unionByName(remote)
     upto = Window.partitionBy(*by, "pid").orderBy("d", "nid").rowsBetween(Window.unboundedPreceding, 0)
     limit = F.lit(k)
     if len(set(clamp.values())) == 1:

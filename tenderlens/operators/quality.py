@@ -73,12 +73,17 @@ def category_variants(df: DataFrame) -> DataFrame:
                                       F.count(F.lit(1)).alias("n_normalised"))
 
 
-def quality_report(df: DataFrame, low: str = DATE_MIN, high: str = DATE_MAX) -> DataFrame:
+def quality_report(df: DataFrame, low: str = DATE_MIN, high: str = DATE_MAX,
+                   display: bool = True) -> DataFrame:
     """One row per column: counts, issue texts and score; lowest score first.
 
     Each check that fires is one issue and costs 0.05.  The score uses the rate
-    rounded to four digits, as published, and is itself rounded to three.
+    rounded to four digits, as published, and is itself rounded to three;
+    ``display=False`` keeps both unrounded.
     """
+    def shown(value: Column, digits: int) -> Column:
+        return F.bround(value, digits) if display else value
+
     names = df.columns
     dates = [c for c in DATE_COLUMNS if c in names]
     has_amount, has_flag = "montant" in names, CURRENT_FLAG in names
@@ -124,9 +129,9 @@ def quality_report(df: DataFrame, low: str = DATE_MIN, high: str = DATE_MAX) ->
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"),
                               issues(i, c).alias("issues")) for i, c in enumerate(names)])
     report = wide.select("n_total", F.inline(rows)).select(
-        "column", F.bround(_rate(F.col("n_missing"), F.col("n_total")), 4).alias("missing_rate"),
+        "column", shown(_rate(F.col("n_missing"), F.col("n_total")), 4).alias("missing_rate"),
         "n_missing", "n_total", "issues")
-    score = F.bround(1.0 - F.col("missing_rate") - _PENALTY * F.size("issues"), 3)
+    score = shown(1.0 - F.col("missing_rate") - _PENALTY * F.size("issues"), 3)
     return report.withColumn("quality_score", F.greatest(F.lit(0.0), score)).withColumn(
         "issue_text", F.concat_ws("; ", "issues")).orderBy("quality_score", "column")
 

@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a table with fewer files than cores (the given ones hold one
+    row group each), so that text work is not one task; larger tables stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def contracts(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
     """Grain order x supplier, as (contract x holder); ``full`` adds descriptive columns."""
     def t(name):
@@ -83,7 +90,7 @@ def signed_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as contracts with a text."""
     names = F.create_map(*[F.lit(x) for pair in REGION_OF_LANG.items() for x in pair])
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("uid"), F.col("text").alias("objet"),
         F.col("n_chars").cast("double").alias("montant"),
         names[F.col("lang")].alias("acheteur_region_nom"))

@@ -205,7 +205,8 @@ def audit_versioning(spark, sf):
 
 @registered
 def quality_report(spark, sf):
-    return quality.quality_report(_audited(spark, sf), b.DATE_LOW, b.DATE_HIGH).drop("issues")
+    return rounded(quality.quality_report(
+        _audited(spark, sf), b.DATE_LOW, b.DATE_HIGH, display=False).drop("issues"))
 
 
 @registered

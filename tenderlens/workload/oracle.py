@@ -265,10 +265,10 @@ _VARIANTS = " UNION ALL ".join(
     "FROM signed" for c in ("nature", "procedure", "type"))
 select("audit_categories", _VARIANTS, CONTRACTS, SIGNED)
 select("audit_versioning", "SELECT count(*) - count(donneesActuelles) AS n_null_flag FROM signed", CONTRACTS, SIGNED)
-select("quality_report", f"""SELECT "column", missing_rate, n_missing, n_total,
+select("quality_report", f"""SELECT "column", round(missing_rate, 6) AS missing_rate, n_missing, n_total,
   coalesce(array_to_string(issues, '; '), '') AS issue_text,
-  greatest(0.0, round(1 - missing_rate - 0.05 * len(issues), 3)) AS quality_score
-FROM (SELECT m."column", round(m.n_missing / m.n_total, 4) AS missing_rate, m.n_missing, m.n_total,
+  round(greatest(0.0, 1 - missing_rate - 0.05 * len(issues)), 6) AS quality_score
+FROM (SELECT m."column", m.n_missing / m.n_total AS missing_rate, m.n_missing, m.n_total,
   list_filter([
     CASE WHEN d.n_out_of_range > 0 THEN d.n_out_of_range
       || ' dates hors plage plausible [{b.DATE_LOW}, {b.DATE_HIGH}]' END,
