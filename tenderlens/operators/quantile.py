@@ -3,8 +3,8 @@
 The built-in exact percentile keeps every distinct value of a group in one
 buffer, so it serves only while the largest group is known to be small.  Beyond
 that a bounded sketch brackets the answer, one partial aggregation counts what
-lies below the bracket and keeps the few values inside it, and a running count
-picks the exact order statistics.
+lies below the bracket and keeps the few values inside it, and running counts
+over bins, then within a bin, pick the exact order statistics.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from tenderlens.runtime import attach, materialize
 
 _ACCURACY = 10_000
 _MARGIN = 6.0 / _ACCURACY
+_BINS = 4096
 BUFFER_ROWS = 200_000  # largest group handed to the built-in percentile
 
 
@@ -60,32 +61,47 @@ def exact_quantiles(
             *([F.count(F.lit(1)).alias(size_as)] if size_as else []))
         return materialize(values, "quantiles")
 
-    entries = F.array_compact(F.array(*[
-        F.when(F.col(f"_v{i}") <= F.col(f"_hi{i}"), F.struct(
-            F.lit(i).alias("m"),
-            F.when(F.col(f"_v{i}") >= F.col(f"_lo{i}"), F.col(f"_v{i}")).alias("x"),
-            F.col(f"_n{i}").alias("n")))
-        for i in range(len(names))]))
+    def entry(i: int) -> Column:
+        """Value inside the bracket with its bin; below the bracket only bin -1 is left."""
+        x, lo, hi = F.col(f"_v{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        share = F.when((hi > lo) & (hi < float("inf")), (x - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        inside = F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int")
+        return F.when(x <= hi, F.struct(
+            F.lit(i).alias("m"), F.col(f"_n{i}").alias("n"),
+            F.when(x >= lo, x).alias("x"), F.when(x >= lo, inside).otherwise(F.lit(-1)).alias("bin")))
+
+    entries = F.array_compact(F.array(*[entry(i) for i in range(len(names))]))
     exploded = F.explode(entries) if len(names) > 1 else entries[0]
-    counted = (
+    counted = materialize(
         attach(base, brackets, by)
         .filter(F.size(entries) > 0)
         .select(*by, exploded.alias("e"))
-        .groupBy(*by, F.col("e.m").alias("m"), F.col("e.n").alias("n"), F.col("e.x").alias("x"))
-        .count()
-    )
-    running = Window.partitionBy(*by, "m").orderBy(F.col("x").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0)
+        .groupBy(*by, "e.m", "e.n", "e.bin", "e.x")
+        .agg(F.count(F.lit(1)).alias("count")), "bracketed")
+
+    # Running counts over at most _BINS + 1 bins per group, then inside the one or two
+    # bins that hold the wanted ranks.
     place = (F.element_at(F.array(*[F.lit(float(q)) for _, q in specs.values()]), F.col("m") + 1)
              * (F.col("n") - 1))
-    ranked = counted.select("*", F.sum("count").over(running).alias("seen"), place.alias("place"))
+    low, high = F.floor("place"), F.ceil("place")
+
+    def upto(*keys: str):
+        return Window.partitionBy(*by, "m", *keys[:-1]).orderBy(keys[-1]).rowsBetween(
+            Window.unboundedPreceding, 0)
+
+    bins = counted.groupBy(*by, "m", "n", "bin").agg(F.sum("count").alias("rows")).withColumn(
+        "before", F.sum("rows").over(upto("bin")) - F.col("rows")).withColumn("place", place)
+    chosen = bins.filter((F.col("before") <= high) & (low < F.col("before") + F.col("rows"))).select(
+        *by, "m", "bin", "before", "place")
+    ranked = counted.join(materialize(chosen, "bins"), [*by, "m", "bin"]).withColumn(
+        "seen", F.col("before") + F.sum("count").over(upto("bin", "x")))
     picked = ranked.groupBy(*by, "m").agg(
-        F.max(F.when(F.col("x").isNull(), F.col("seen") > F.floor("place"))).alias("low_miss"),
-        F.min(F.when(F.col("seen") > F.floor("place"), F.col("x"))).alias("a"),
-        F.min(F.when(F.col("seen") > F.ceil("place"), F.col("x"))).alias("b"),
-        F.first(F.col("place") - F.floor("place")).alias("t"))
+        F.max(F.col("x").isNull()).alias("below"),
+        F.min(F.when(F.col("seen") > low, F.col("x"))).alias("a"),
+        F.min(F.when(F.col("seen") > high, F.col("x"))).alias("b"),
+        F.first(F.col("place") - low).alias("t"))
     value = F.when(
-        F.coalesce(F.col("low_miss"), F.lit(False)) | F.col("b").isNull(),
+        F.col("below") | F.col("b").isNull(),
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
     ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("t"))
     values = picked.select(*by, "m", value.alias("value")).groupBy(*by).agg(
