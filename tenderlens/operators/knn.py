@@ -109,18 +109,16 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, ids:
         rows = np.arange(start, min(start + _CHUNK, len(queries)))
         distance = _distances(queries[rows], points)
         n = distance.shape[1]
-        # Each other point weighs at least 1, so the k + 1 smallest suffice unless
-        # further points tie with the last of them; such rows widen the cut.
+        # Each other point weighs at least 1, so the k + 1 smallest suffice; points that
+        # tie with the last of them are candidates too, and the id decides.
         width = min(k + 1, n)
-        while True:
-            near = np.argpartition(distance, width - 1, axis=1)[:, :width] if width < n else \
-                np.broadcast_to(np.arange(n), distance.shape)
-            gap = np.take_along_axis(distance, near, axis=1)
-            order = np.lexsort((id_order[near], gap), axis=-1)
-            near, gap = np.take_along_axis(near, order, axis=1), np.take_along_axis(gap, order, axis=1)
-            if width == n or not ((distance <= gap[:, -1:]).sum(axis=1) > width).any():
-                break
-            width = min(n, int((distance <= gap[:, -1:]).sum(axis=1).max()))
+        last = np.partition(distance, width - 1, axis=1)[:, width - 1:width]
+        width = int((distance <= last).sum(axis=1).max())
+        near = np.argpartition(distance, width - 1, axis=1)[:, :width] if width < n else \
+            np.broadcast_to(np.arange(n), distance.shape)
+        gap = np.take_along_axis(distance, near, axis=1)
+        order = np.lexsort((id_order[near], gap), axis=-1)
+        near, gap = np.take_along_axis(near, order, axis=1), np.take_along_axis(gap, order, axis=1)
         weight = weights[near].astype("int64")
         if same is not None:
             weight = weight - (near == same[rows][:, None])

@@ -602,20 +602,20 @@ def ridge(spark, sf):
 @registered
 def random_forest(spark, sf):
     data, _ = _training(spark, sf)
-    fitted = prediction.forest(20, 8).fit(data.filter(~F.col("is_test")))
+    fitted = prediction.forest().fit(data.filter(~F.col("is_test")))
     return fitted.transform(data.filter("is_test")).select("uid", prediction.LABEL, "prediction")
 
 
 @registered
 def compare_models(spark, sf):
     data, _ = _training(spark, sf)
-    return prediction.compare_models(data, n_trees=20, max_depth=8)
+    return prediction.compare_models(data)
 
 
 @registered
 def feature_importance(spark, sf):
     data, names = _training(spark, sf)
-    return prediction.feature_importance(data, names, n_trees=20, max_depth=8)
+    return prediction.feature_importance(data, names)
 
 
 @registered

@@ -490,6 +490,26 @@ FROM (SELECT t.query_id AS requete, l.quality, CASE WHEN {_HIT} THEN 1 ELSE 0 EN
     ON t.query_id = ({names([*b.THEMES, 'inconnue'])})[CAST(l.doc_id % {len(b.THEMES) + 1} AS INT) + 1])
 GROUP BY 1""", CORPUS, THEMES, KEYED)
 
+# Anomalies -------------------------------------------------------------------------------------------------
+
+
+def neighbours(rows: str, columns: list[str], k: int) -> str:
+    """``rows`` has uid and the columns.  Equal rows form one point named by its lowest
+    uid; of its k + 1 nearest rows the first is the point itself."""
+    keys = ", ".join(columns)
+    distance = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in columns) + ")"
+    return f"""pts AS MATERIALIZED (SELECT {keys}, min(uid) AS pid FROM {rows} WHERE {' AND '.join(
+        f'{c} IS NOT NULL' for c in columns)} GROUP BY {keys}),
+named AS MATERIALIZED (SELECT r.uid, p.* FROM {rows} r JOIN pts p USING ({keys})),
+lists AS (SELECT a.pid, min({{'d': {distance}, 'nid': b.pid}}, {k + 1}) AS l FROM pts a, named b GROUP BY a.pid),
+near_ AS MATERIALIZED (SELECT pid, e.nid AS nid, e.d AS d, count(*) AS used
+  FROM (SELECT pid, unnest(l[2:]) AS e FROM lists) GROUP BY 1, 2, 3)"""
+
+
+select("knn_neighbours", "SELECT pid, nid, round(d, 6) AS d, used FROM near_",
+       CONTRACTS, SIGNED, first_of("signed"), neighbours("firsts", ["montant", "dureeMois"], 5))
+# LOF has no SQL: equal distances flip on last digits; a test compares it with brute force.
+
 # Prediction -----------------------------------------------------------------------------------------------
 
 _VALID = """valid AS (SELECT * FROM contracts WHERE offresRecues >= 0 AND montant > 0
