@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions import text as tx
@@ -360,9 +360,7 @@ def vector_upsert(spark, sf):
 
 
 def _rankings(spark, sf):
-    """Two rankings of documents per language: by length, and by number."""
-    from pyspark.sql import Window
-
+    """Two rankings of documents per language: by length, and by hash."""
     docs = b.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("lang").alias("query_id"), "n_chars")
     by_length = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "uid")
     by_hash = Window.partitionBy("query_id").orderBy(F.md5(F.col("uid").cast("string")), "uid")
@@ -580,6 +578,10 @@ def regression_metrics(spark, sf):
     return rounded(prediction.metrics(rows, ["procedure"]))
 
 
+# Trees and depth of the registered forests; the library defaults are 100 and 15.
+_FOREST = (20, 8)
+
+
 def _training(spark, sf):
     return prediction.training_set(b.contracts(spark, sf), b.TIE_BREAK)
 
@@ -602,20 +604,20 @@ def ridge(spark, sf):
 @registered
 def random_forest(spark, sf):
     data, _ = _training(spark, sf)
-    fitted = prediction.forest().fit(data.filter(~F.col("is_test")))
+    fitted = prediction.forest(*_FOREST).fit(data.filter(~F.col("is_test")))
     return fitted.transform(data.filter("is_test")).select("uid", prediction.LABEL, "prediction")
 
 
 @registered
 def compare_models(spark, sf):
     data, _ = _training(spark, sf)
-    return prediction.compare_models(data)
+    return prediction.compare_models(data, *_FOREST)
 
 
 @registered
 def feature_importance(spark, sf):
     data, names = _training(spark, sf)
-    return prediction.feature_importance(data, names)
+    return prediction.feature_importance(data, names, *_FOREST)
 
 
 @registered
@@ -624,6 +626,7 @@ def cross_validate(spark, sf):
     return prediction.summarise_folds(prediction.cross_validate(data, prediction.ridge(data)))
 
 
+# A small search space keeps the registered search short; the library default is larger.
 _SMALL_SPACE = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [1, 5],
                 "max_features": ["sqrt", 0.5]}
 
