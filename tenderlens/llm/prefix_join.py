@@ -37,6 +37,7 @@ POOL = 1.5  # width of the counted part of the hash space, in prefixes
 MOST_MATCHES = 8  # longest extension
 VERIFY_COST = 8.0  # cost of one verification against one posting read
 SHORT_LIST = 24  # postings up to which all pairs of a list are listed
+SMALL_IDS = 1_000_000  # candidate ids (8 MB) that may be broadcast to the texts; beyond, the texts are shuffled
 BLOCK = 384  # documents of a cluster that are compared in one group with another block
 
 
@@ -212,8 +213,9 @@ def _verify(docs: DataFrame, prefixes: DataFrame, clusters: DataFrame, words: in
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     placed = materialize(clusters.join(sizes, "component").join(
         prefixes.select(F.col("doc_id").alias("node"), "matches", "tokens", "levels"), "node"), "near-placed")
-    texts = docs.join(placed.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    # From here on only candidates move.
+    wanted = placed.select("node")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted
+    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")  # from here on only candidates move
     placed = placed.withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_with")).select(
         "node", "component", "matches", "tokens", "levels", "_mine",
@@ -221,7 +223,7 @@ def _verify(docs: DataFrame, prefixes: DataFrame, clusters: DataFrame, words: in
     rows = texts.join(spread, F.col("doc_id") == F.col("node")).select(
         "component", "_low", "_high", "_mine", "doc_id", "text", "matches", "tokens", "levels")
     keys = ["component", "_low", "_high"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -242,6 +244,8 @@ def _verify(docs: DataFrame, prefixes: DataFrame, clusters: DataFrame, words: in
                 if key != group:
                     found += links()
                     group, held = key, []
+                if held and held[-1][0] == frame["doc_id"][i]:
+                    continue  # rows that share an id are one document
                 held.append((frame["doc_id"][i], s, frame["matches"][i], np.array(frame["tokens"][i], np.int64),
                              np.array(frame["levels"][i], np.uint8), frame["_mine"][i]))
         found += links()
