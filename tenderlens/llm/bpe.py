@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tenderlens.llm.common import chunks, lists
 
-MEMO = 700_000  # words, and pairs of parts, that a Python worker remembers; then it starts afresh
+MEMO = 250_000  # words, and pairs of parts, that a Python worker remembers; then it starts afresh
 
 
 class PerfectHash:
@@ -214,54 +214,64 @@ class Encoder:
 _INNER = re.compile(r"\s \s")  # a space inside a longer run of white space
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids`` array<int>: each match of the pattern encoded by itself, no special tokens.
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str, ids: str):
+    gc.disable()  # nothing here makes cycles, and the remembered words are many
+    encoder = vocabulary.encoder = vocabulary.encoder or Encoder(vocabulary)
+    for batch in chunks(batches, text):
+        flat, sizes = [], []
+        for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
+            found = encoder.encode(value or "")
+            flat += found
+            sizes.append(len(found))
+        column = lists(np.array(flat, np.int32), np.array(sizes, np.int64), pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
-    A null text counts as empty and has no ids.  Rows and their other columns stay; an
-    earlier column of that name is replaced.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    docs = docs.drop(ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the remembered words are many
-        vocabulary = shared.value  # one object per Python worker: later tasks go on with its memory
-        encoder = vocabulary.encoder = vocabulary.encoder or Encoder(vocabulary)
-        for batch in chunks(batches, text):
-            flat, sizes = [], []
-            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                found = encoder.encode(value or "")
-                flat += found
-                sizes.append(len(found))
-            column = lists(np.array(flat, np.int32), np.array(sizes, np.int64), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, ids: str, decoded: str):
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            column = batch.column(batch.schema.get_field_index(ids))
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            data, offsets = vocabulary.decode(flat, sizes)
+            out = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [
+                None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], [*batch.schema.names, decoded])
 
-    return docs.mapInArrow(run, schema)
 
+_IDS = T.ArrayType(T.IntegerType())
 
-def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds ``decoded`` binary: the bytes of the ids.  Null ids count as none."""
+
+def _map(docs: DataFrame, vocabulary: Vocabulary, added: dict[str, T.DataType], *steps) -> DataFrame:
+    """One pass through Python; the broadcast vocabulary, with what it remembers, serves all tasks of a worker."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    docs = docs.drop(decoded)
-    schema = T.StructType([*docs.schema.fields, T.StructField(decoded, T.BinaryType())])
+    docs = docs.drop(*added)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                column = batch.column(batch.schema.get_field_index(ids))
-                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, offsets = shared.value.decode(flat, sizes)
-                out = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [
-                    None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())],
-                                                 [*batch.schema.names, decoded])
+        for step, *columns in steps:
+            batches = step(batches, shared.value, *columns)
+        return batches
 
     return docs.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """Adds ids and decoded in one pass through Python."""
-    return decode(encode(docs, vocabulary, text), vocabulary)
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds ``ids`` array<int>: each match of the pattern encoded by itself, no special tokens.
+
+    A null text counts as empty and has no ids.  Rows and their other columns stay; an
+    earlier column of that name is replaced.
+    """
+    return _map(docs, vocabulary, {ids: _IDS}, (_encoded, text, ids))
+
+
+def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds ``decoded`` binary: the bytes of the ids.  Null ids count as none."""
+    return _map(docs, vocabulary, {decoded: T.BinaryType()}, (_decoded, ids, decoded))
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids",
+               decoded: str = "decoded") -> DataFrame:
+    """Adds ``ids`` and ``decoded``, the bytes the ids stand for, in one pass through Python."""
+    return _map(docs, vocabulary, {ids: _IDS, decoded: T.BinaryType()}, (_encoded, text, ids), (_decoded, ids, decoded))
