@@ -65,7 +65,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if not skip and m.start() > at:
             piece = page[at:m.start()]
             parts.append(piece)
-            linked += len(piece) if in_link else 0
+            linked += len(piece) if in_link and not inside else 0
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -87,7 +87,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 (name in _BOILERPLATE and not (name == "header" and inside)) or
                 (name in _CONTAINER and _NAMES.search(attributes))):
             flush()
-            lines.extend(gap)
+            lines.extend([] if inside else gap)  # an aside does not cut the article in two
             skip, depth = name, 1
             continue
         if name == "a":
@@ -106,6 +106,15 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     return lines
 
 
+def _trimmed(lines: list[tuple[str, int]], start: int, end: int) -> tuple[int, int]:
+    """A region from its first to its last line with text of its own."""
+    while start < end and not lines[start][1]:
+        start += 1
+    while start < end and not lines[end - 1][1]:
+        end -= 1
+    return start, end
+
+
 def main_text(page: str) -> str:
     """Blocks between surge and dive points, in page order, joined by one space."""
     lines = page_lines(page)
@@ -120,8 +129,9 @@ def main_text(page: str) -> str:
             start = None
     if start is not None:
         regions.append((start, len(lines)))
+    regions = [r for r in (_trimmed(lines, a, b) for a, b in regions) if r[0] < r[1]]
     if not regions:
-        return ""
+        return " ".join(text for text, _ in lines if text)  # nothing but links
     high = [(a, b) for a, b in regions if max(sums[a:b]) >= SURGE]
     if not high:  # a page of short blocks only: its longest part is the article
         high = [max(regions, key=lambda r: (sum(n for _, n in lines[r[0]:r[1]]), -r[0]))]
