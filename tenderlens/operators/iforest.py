@@ -98,6 +98,8 @@ def score(df: DataFrame, trees: DataFrame, columns: Sequence[str], by: Sequence[
     parameters, not by the data.
     """
     by = list(by)
+    if len(by) > 1:
+        raise ValueError("one key column: combine several into a struct or a string first")
     nodes = trees.toPandas()
     forests = {}
     for key, group in nodes.groupby(by[0]) if by else [(None, nodes)]:

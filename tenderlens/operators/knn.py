@@ -142,6 +142,8 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
     Equal distances are ordered by the lowest uid.  k is clamped to n - 1.
     """
     by, names = list(by), list(columns)
+    if len(by) > 1:
+        raise ValueError("one key column: combine several into a struct or a string first")
     dim = len(names)
     spark = points.sparkSession
     types = dict(points.dtypes)
@@ -170,9 +172,9 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
     def cell_of(keys: pd.DataFrame, values: pd.DataFrame) -> pd.Series:
         xs = values.to_numpy("float64")
         out = np.zeros(len(xs), dtype="int32")
-        groups = list(keys.itertuples(index=False, name=None)) if by else None
+        groups = keys.iloc[:, 0].to_numpy() if by else None
         for key, tree in shared_trees.value.items():
-            chosen = np.ones(len(xs), bool) if groups is None else np.array([g == key for g in groups])
+            chosen = np.ones(len(xs), bool) if groups is None else groups == key[0]
             if chosen.any():
                 out[chosen] = _assign(xs[chosen], tree)
         return pd.Series(out)

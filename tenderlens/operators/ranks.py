@@ -24,13 +24,19 @@ def sample_exact(df: DataFrame, size: int, seed: int | str, keys: Sequence[str])
     """Exactly ``min(size, n)`` rows, the same ones on any partitioning.
 
     ``keys`` must identify a row.  A histogram of hash prefixes finds the bucket
-    that holds the last sampled row, so only about ``size`` rows reach the sort.
+    that holds the last sampled row; rows beyond it are filtered where they are read
+    and the others are ranked bucket by bucket, so no task gathers the sample.
     """
     hashed = df.withColumn("_h", unit_hash(seed, *keys))
-    cut = _running_counts(hashed).filter(F.col("_upto") >= size).agg(
+    counts = _running_counts(hashed)
+    cut = counts.filter(F.col("_upto") >= size).agg(
         F.coalesce(F.min("_bucket"), F.lit("ffff")).alias("_cut"))
-    kept = attach(hashed, cut).filter(F.substring("_h", 1, _BUCKET_DIGITS) <= F.col("_cut"))
-    return kept.orderBy("_h", *keys).limit(size).drop("_h", "_cut")
+    kept = attach(hashed, cut).withColumn("_bucket", F.substring("_h", 1, _BUCKET_DIGITS)).filter(
+        F.col("_bucket") <= F.col("_cut"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", *keys))
+    offsets = counts.select("_bucket", (F.col("_upto") - F.col("count")).alias("_before"))
+    ranked = kept.withColumn("_in", inside).join(offsets, "_bucket")
+    return ranked.filter(F.col("_before") + F.col("_in") <= size).select(*df.columns)
 
 
 def global_rank(df: DataFrame, seed: int | str, keys: Sequence[str], name: str) -> DataFrame:

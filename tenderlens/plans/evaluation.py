@@ -163,7 +163,12 @@ def themed_samples(corpus: DataFrame, row_keys: Sequence[str],
 
 
 def _populations(corpus: DataFrame, queries: DataFrame, row_keys: Sequence[str],
-                 sizes: Mapping[str, int] | None, default: int) -> tuple[DataFrame, DataFrame]:
+                 sizes: Mapping[str, int] | None, default: int | None) -> tuple[DataFrame, DataFrame]:
+    """The corpus by population and every query's population: one, the whole corpus,
+    unless the caller gives sample sizes."""
+    if sizes is None and default is None:
+        return corpus.withColumn("pop", F.lit("all")), queries.withColumn("pop", F.lit("all"))
+    default = DEFAULT_SAMPLE_SIZE if default is None else default
     sized = queries.withColumn(
         "pop", sample_size_for(F.col("query_id"), sizes, default).cast("string"))
     chosen = {default, *(SAMPLE_SIZES if sizes is None else sizes).values()}
@@ -171,7 +176,7 @@ def _populations(corpus: DataFrame, queries: DataFrame, row_keys: Sequence[str],
 
 
 def evaluate_bm25(corpus: DataFrame, queries: DataFrame, row_keys: Sequence[str],
-                  sizes: Mapping[str, int] | None = None, default: int = DEFAULT_SAMPLE_SIZE,
+                  sizes: Mapping[str, int] | None = None, default: int | None = None,
                   k_values: Sequence[int] = (5, 10), digits: int | None = 3,
                   dedup_by: Sequence[str] | None = None) -> DataFrame:
     """BM25 alone on the raw query text; contracts are not deduplicated unless
@@ -197,7 +202,7 @@ def _with_sample_size(table: DataFrame, sample: DataFrame, sized: DataFrame) ->
 
 def evaluate_hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
                     row_keys: Sequence[str], tie_break: Sequence[str],
-                    sizes: Mapping[str, int] | None = None, default: int = DEFAULT_SAMPLE_SIZE,
+                    sizes: Mapping[str, int] | None = None, default: int | None = None,
                     k_values: Sequence[int] = (5, 10), digits: int | None = 3) -> DataFrame:
     """Full pipeline; recall and NDCG against the strictly filtered rows."""
     sample, sized = _populations(corpus, queries, row_keys, sizes, default)
@@ -212,7 +217,7 @@ def evaluate_hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, q
 def sweep_weights(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
                   row_keys: Sequence[str], tie_break: Sequence[str],
                   configs: Mapping[str, Sequence[float]] | None = None,
-                  sizes: Mapping[str, int] | None = None, default: int = DEFAULT_SAMPLE_SIZE,
+                  sizes: Mapping[str, int] | None = None, default: int | None = None,
                   k_values: Sequence[int] = (5, 10), digits: int | None = 3) -> DataFrame:
     """Fusion weightings side by side; rankings are computed once.  The reference
     set of relevant texts is the whole sample here, before filters."""
@@ -225,7 +230,7 @@ def sweep_weights(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, que
 
 def compare_vector_sets(corpus: DataFrame, queries: DataFrame, vectors: DataFrame,
                         query_vectors: DataFrame, row_keys: Sequence[str], tie_break: Sequence[str],
-                        sizes: Mapping[str, int] | None = None, default: int = DEFAULT_SAMPLE_SIZE,
+                        sizes: Mapping[str, int] | None = None, default: int | None = None,
                         k_values: Sequence[int] = (5, 10), digits: int | None = 3) -> DataFrame:
     """Same queries under several embedding models, told apart by ``model``."""
     sample, sized = _populations(corpus, queries, row_keys, sizes, default)

@@ -36,7 +36,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     base = shared_dir(spark)
     if base is None:
-        return df.persist()
+        raise RuntimeError(f"set {_DIR_KEY} to a folder that driver and executors share")
     path = f"{base}/tenderlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -54,10 +54,13 @@ def encode(texts: DataFrame, model: str, encoder: Encoder, text: str = "objet")
 
 def upsert_vectors(texts: DataFrame, path: str, model: str, encoder: Encoder,
                    text: str = "objet") -> DataFrame:
-    """Encode only texts the store lacks, append them, return the store."""
+    """Encode only texts the store lacks, append them, return the store.
+
+    Of several texts of one uid the smallest is encoded, whatever the partitioning.
+    """
     spark = texts.sparkSession
     todo = missing_uids(
-        texts.withColumn("uid", F.col("uid").cast("string")).dropDuplicates(["uid"]),
+        texts.groupBy(F.col("uid").cast("string").alias("uid")).agg(F.min(text).alias(text)),
         read_vectors(spark, path), model)
     append_vectors(materialize(encode(todo, model, encoder, text), "encoded"), path)
     return read_vectors(spark, path)

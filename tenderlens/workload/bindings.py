@@ -26,7 +26,6 @@ THEMES = {
     "t_enlich": ("enlich enheit erkeit plus de 500 euros", ["enkeit", "énlich"], 8),
     "t_cionas_difficile": ("cionas cionue cionado", ["cionos", "cion ll"], 11),
 }
-THEME_SIZES = {"t_ention": 100_000}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -364,7 +364,7 @@ def _rankings(spark, sf):
     docs = b.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("lang").alias("query_id"), "n_chars")
     by_length = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "uid")
     by_hash = Window.partitionBy("query_id").orderBy(F.md5(F.col("uid").cast("string")), "uid")
-    return [docs.select("query_id", "uid", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= 200)
+    return [docs.select("query_id", "uid", F.row_number().over(w).alias("rank"))
             for w in (by_length, by_hash)]
 
 
@@ -466,7 +466,7 @@ def evaluate_queries(spark, sf):
 @registered
 def eval_bm25(spark, sf):
     return rounded(evaluation.evaluate_bm25(
-        b.corpus(spark, sf), _themes(spark), b.CORPUS_KEYS, b.THEME_SIZES, digits=None))
+        b.corpus(spark, sf), _themes(spark), b.CORPUS_KEYS, digits=None))
 
 
 def _eval_inputs(spark, sf):
@@ -476,12 +476,12 @@ def _eval_inputs(spark, sf):
 
 @registered
 def eval_hybrid(spark, sf):
-    return rounded(evaluation.evaluate_hybrid(*_eval_inputs(spark, sf), sizes=b.THEME_SIZES, digits=None))
+    return rounded(evaluation.evaluate_hybrid(*_eval_inputs(spark, sf), digits=None))
 
 
 @registered
 def sweep_rrf_weights(spark, sf):
-    return rounded(evaluation.sweep_weights(*_eval_inputs(spark, sf), sizes=b.THEME_SIZES, digits=None))
+    return rounded(evaluation.sweep_weights(*_eval_inputs(spark, sf), digits=None))
 
 
 @registered
@@ -489,7 +489,7 @@ def compare_vector_sets(spark, sf):
     corpus, themes, held, asked, keys, tie = _eval_inputs(spark, sf)
     return rounded(evaluation.compare_vector_sets(
         corpus, themes, b.two_models(held, "vec"), b.two_models(asked, "qvec"), keys, tie,
-        sizes=b.THEME_SIZES, digits=None))
+        digits=None))
 
 
 @registered
@@ -578,10 +578,6 @@ def regression_metrics(spark, sf):
     return rounded(prediction.metrics(rows, ["procedure"]))
 
 
-# Trees and depth of the registered forests; the library defaults are 100 and 15.
-_FOREST = (20, 8)
-
-
 def _training(spark, sf):
     return prediction.training_set(b.contracts(spark, sf), b.TIE_BREAK)
 
@@ -604,26 +600,26 @@ def ridge(spark, sf):
 @registered
 def random_forest(spark, sf):
     data, _ = _training(spark, sf)
-    fitted = prediction.forest(*_FOREST).fit(data.filter(~F.col("is_test")))
+    fitted = prediction.forest().fit(data.filter(~F.col("is_test")))
     return fitted.transform(data.filter("is_test")).select("uid", prediction.LABEL, "prediction")
 
 
 @registered
 def compare_models(spark, sf):
     data, _ = _training(spark, sf)
-    return prediction.compare_models(data, *_FOREST)
+    return prediction.compare_models(data)
 
 
 @registered
 def feature_importance(spark, sf):
     data, names = _training(spark, sf)
-    return prediction.feature_importance(data, names, *_FOREST)
+    return prediction.feature_importance(data, names)
 
 
 @registered
 def cross_validate(spark, sf):
     data, _ = _training(spark, sf)
-    return prediction.summarise_folds(prediction.cross_validate(data, prediction.ridge(data)))
+    return prediction.summarise_folds(prediction.cross_validate(data, prediction.ridge))
 
 
 # A small search space keeps the registered search short; the library default is larger.

@@ -362,10 +362,10 @@ FROM near n LEFT JOIN half h ON n.query_id = h.query_id AND n.uid = h.uid GROUP
        "hpairs AS (SELECT query_id, uid, qvec[1:32] AS qvec, vec[1:32] AS vec FROM vpairs)", near("hpairs", 20, "half"))
 select("missing_vectors", "SELECT doc_id AS uid FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 select("vector_upsert", "SELECT doc_id AS uid, 'lettres' AS model, CAST(26 AS INTEGER) AS dim FROM documents")
-_RANKINGS = """by_length AS (SELECT * FROM (SELECT lang AS query_id, doc_id AS uid, row_number() OVER (
-  PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 200),
-by_hash AS (SELECT * FROM (SELECT lang AS query_id, doc_id AS uid, row_number() OVER (
-  PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM documents) WHERE rank <= 200)"""
+_RANKINGS = """by_length AS (SELECT lang AS query_id, doc_id AS uid, row_number() OVER (
+  PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+by_hash AS (SELECT lang AS query_id, doc_id AS uid, row_number() OVER (
+  PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM documents)"""
 for _key, _w in {"rrf_fusion": "1.0", "rrf_weighted": "3.0"}.items():
     select(_key, "SELECT query_id, uid, round(rrf_score, 9) AS rrf_score, rank FROM fused",
            _RANKINGS, fuse([("by_length", _w), ("by_hash", "1.0")]))
@@ -405,8 +405,8 @@ select("annotation_sheet", """SELECT CAST(t.query_id AS VARCHAR) AS requete, t.r
 # Evaluation -----------------------------------------------------------------------------------------------
 
 THEMES = "themes AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({q(n)}, {q(text)}, {names(keys)}, {v}, {b.THEME_SIZES.get(n, 15000)})"
-    for n, (text, keys, v) in b.THEMES.items()) + ") t(query_id, requete, mots, vec_id, taille))"
+    f"({q(n)}, {q(text)}, {names(keys)}, {v})"
+    for n, (text, keys, v) in b.THEMES.items()) + ") t(query_id, requete, mots, vec_id))"
 KEYED = f"keyed AS (SELECT *, {relevance('objet')} AS cle FROM corpus)"
 _HIT = f"len(list_filter(mots, lambda m: contains(cle, {relevance('m')}))) > 0"
 select("keyword_relevance", f"SELECT query_id, uid, {_HIT} AS pertinent FROM themes, keyed", CORPUS, THEMES, KEYED)
@@ -444,8 +444,7 @@ for _key, _metric in {"precision_at_k": "precision", "recall_at_k": "recall", "n
 select("evaluate_queries", f"SELECT nom, n_resultats, n_pertinents_corpus, {shown(_K3)} FROM ev",
        *_THEME_BM25, evaluated("bm25", "rel", _K3))
 
-_SAMPLED = """sampled AS (SELECT t.query_id, t.taille, c.* FROM themes t, (
-  SELECT *, row_number() OVER (ORDER BY md5(uid || ':42'), uid) AS h FROM corpus) c WHERE c.h <= t.taille)"""
+_SAMPLED = "sampled AS (SELECT t.query_id, c.* FROM themes t, corpus c)"
 _SIZES = "sizes AS (SELECT query_id AS nom, count(*) AS n_echantillon FROM sampled GROUP BY 1)"
 _SREL = f"""srel AS (SELECT s.query_id, count(*) AS n FROM sampled s JOIN themes USING (query_id)
   JOIN keyed k ON k.uid = s.uid WHERE {_HIT} GROUP BY 1)"""
@@ -457,7 +456,7 @@ select("eval_bm25", f"SELECT nom, n_resultats, n_pertinents_corpus, {shown(_K2)}
 _THEME_HYBRID = [CORPUS, THEMES, KEYED, _SAMPLED, _SIZES, _SREL, parse("themes"), f"""cuts AS (
   SELECT p.query_id, quantile_cont(s.montant, 0.9) AS cut FROM parsed p JOIN sampled s ON p.query_id = s.query_id
     AND (p.region IS NULL OR p.region = s.acheteur_region_nom) GROUP BY 1),
-subset AS (SELECT s.* EXCLUDE (taille, h) FROM parsed p LEFT JOIN cuts USING (query_id) JOIN sampled s
+subset AS (SELECT s.* FROM parsed p LEFT JOIN cuts USING (query_id) JOIN sampled s
     ON p.query_id = s.query_id AND (p.region IS NULL OR p.region = s.acheteur_region_nom)
   WHERE CASE WHEN montant_min IS NOT NULL THEN montant >= montant_min
              WHEN montant_eleve_qualitatif THEN montant >= cut ELSE TRUE END),

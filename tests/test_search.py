@@ -232,3 +232,10 @@ def test_annotation_agreement(spark):
                                        ("inconnu", "voirie", 1)], "requete string, objet string, pertinent int")
     rows = ev.annotation_agreement(annotated, themes(spark)).collect()
     assert [tuple(r) for r in rows] == [("q", 4, 0.5, 1, 1)]
+
+
+def test_ragged_vectors_are_refused(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0]), ("c", [5.0, 1.0])], "uid string, vec array<double>")
+    queries = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, qvec array<double>")
+    with pytest.raises(Exception, match="has 1 components, the queries have 2"):
+        vector_topk(vectors, queries, 2).collect()
