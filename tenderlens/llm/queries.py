@@ -91,9 +91,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("secrets", lambda s: s["kind"] != "entropy")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in ("assign", "access", "hex", "entropy")]
+    counts = [count(kind) for kind in ("assign", "access", "hex", "entropy")]
     return found.select("doc_id", *counts[:3], F.sha2(written(base), 256).alias("base_sha256"),
                         written(F.col("secrets")).alias("spans"), counts[3])
 

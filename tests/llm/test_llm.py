@@ -494,6 +494,7 @@ def test_query_columns(spark):
         assert columns <= set(out.columns)
     r = QUERIES["op10_secrets"](spark, "/root/testdata/sf0.01").filter("spans <> ''").first()
     base = [s for s in r.spans.split(",") if not s.startswith("entropy")]
+    assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
     assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
 
 
