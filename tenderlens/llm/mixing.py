@@ -7,6 +7,8 @@ words, with unequal probabilities between sources (and between documents, when o
 
 No source is ever sorted in one task.  The rank at which the words run out is found with two
 histograms of 4,096 bins per source, so the last, exact step sorts about one row in 16 million.
+What is known per source is written before it is joined to the documents: Spark then sees that
+it is small and leaves the documents where they are, instead of dealing them by source.
 """
 
 from __future__ import annotations
@@ -88,9 +90,10 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -
         "_rest", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
     quota = materialize(quota, "mix-quota")
     keyed = _attach(sized, quota.filter("_rest > 0").select("source", "_share", "_rest")).withColumn("_key", key())
-    first = _boundary(keyed, F.floor(F.col("_key") * BINS), "_rest").withColumnRenamed("_bin", "_bin1")
+    first = materialize(_boundary(keyed, F.floor(F.col("_key") * BINS), "_rest").withColumnRenamed("_bin", "_bin1"), "mix-bins")
     inner = _attach(keyed.drop("_rest"), first).filter(F.floor(F.col("_key") * BINS) == F.col("_bin1"))
-    second = _boundary(inner, F.floor(F.col("_key") * (BINS * BINS)), "_missing").withColumnRenamed("_bin", "_bin2")
+    second = materialize(_boundary(inner, F.floor(F.col("_key") * (BINS * BINS)), "_missing").withColumnRenamed(
+        "_bin", "_bin2"), "mix-fine-bins")
     last = _attach(inner.drop("_missing"), second).filter(F.floor(F.col("_key") * (BINS * BINS)) == F.col("_bin2"))
     upto = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     near = F.sum("size").over(upto) - F.col("size") / 2 <= F.col("_missing")
@@ -100,9 +103,10 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -
         F.max(F.when(F.col("_near"), F.col("_key"))),
         F.max(F.col("_bin2")) / float(BINS * BINS) - 1e-18).alias("cut"))
     other = cut.withColumnRenamed("source", "_source")
-    return quota.join(other, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+    found = quota.join(other, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         "source", "source_size", "target", "copies", "_share",
         F.coalesce("cut", F.lit(-1.0)).alias("cut"))
+    return materialize(found, "mix-plan")
 
 
 def key() -> Column:
