@@ -31,13 +31,18 @@ def shared_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Compute ``df`` once, cut its lineage, and return the stored copy."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
     base = shared_dir(spark)
     if base is None:
         raise RuntimeError(f"set {_DIR_KEY} to a folder that driver and executors share")
-    path = f"{base}/tenderlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{base}/tenderlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Compute ``df`` once, cut its lineage, and return the stored copy."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +13,9 @@ from tenderlens.operators import bm25, cleaning, fusion, peers, quality, query_l
 from tenderlens.operators import contracts as grain
 from tenderlens.operators import vectors as vec
 from tenderlens.operators.knn import collapse_points, knn_self
+from tenderlens.operators.lof import lof_scores
 from tenderlens.plans import anomaly, evaluation, prediction, search
-from tenderlens.runtime import materialize, shared_dir
+from tenderlens.runtime import materialize, shared_path
 from tenderlens.sources import contracts as scans
 from tenderlens.sources import exports, vector_store
 from tenderlens.workload import bindings as b
@@ -322,6 +322,14 @@ def vector_ann_topk(spark, sf):
     return vec.vector_ann_topk(b.vectors(spark, sf), b.query_vectors(spark, sf), 20, nlist=10)
 
 
+@registered
+def vector_cells_topk(spark, sf):
+    """Search of a stored index whose centres are ten given vectors, two cells per query."""
+    held, path = b.vectors(spark, sf), shared_path(spark, "cells")
+    vec.store_cells(held, path, centres=held.filter("uid < 10"))
+    return rounded(vec.search_cells(spark, path, b.query_vectors(spark, sf), 20, probes=2))
+
+
 @registered
 def topk_overlap(spark, sf):
     """Exact top-20 of the whole vectors against the top-20 of their first half."""
@@ -351,12 +359,14 @@ def letter_shares(texts: list[str]) -> list[list[float]]:
 
 @registered
 def vector_upsert(spark, sf):
-    path = f"{shared_dir(spark)}/tenderlens/store-{uuid.uuid4().hex}"
+    path = shared_path(spark, "store")
     docs = b.corpus(spark, sf)
     english = docs.filter(F.col("acheteur_region_nom") == "Île-de-France")
     vector_store.upsert_vectors(english, path, "lettres", letter_shares)
     stored = vector_store.upsert_vectors(docs, path, "lettres", letter_shares)
-    return stored.select(F.col("uid").cast("long").alias("uid"), "model", F.size("vec").alias("dim"))
+    weighted = F.transform("vec", lambda x, i: x.cast("double") * (i + 1))
+    return stored.select(F.col("uid").cast("long").alias("uid"), "model", F.size("vec").alias("dim"),
+                         F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 3).alias("lettres"))
 
 
 def _rankings(spark, sf):
@@ -527,6 +537,16 @@ def knn_neighbours(spark, sf):
     return rounded(knn_self(points, ["montant", "dureeMois"], 5))
 
 
+@registered
+def lof_score(spark, sf):
+    """Outlier factor of every distinct (amount, duration), as they are."""
+    columns = ["montant", "dureeMois"]
+    first = grain.dedup_contracts(_detection_input(spark, sf), b.TIE_BREAK)
+    points = materialize(collapse_points(first, columns), "points")
+    near = materialize(knn_self(points, columns, 5), "neighbours")
+    return rounded(lof_scores(points, near, columns))
+
+
 @registered
 def method_agreement(spark, sf):
     return anomaly.compare_methods(_detection_input(spark, sf), b.TIE_BREAK)

@@ -355,13 +355,25 @@ select("bm25_search", "SELECT query_id, uid, round(bm25_score, 6) AS bm25_score,
 _ALL_PAIRS = ("vpairs AS (SELECT a.vec_id AS query_id, c.vec_id AS uid, a.embedding AS qvec, c.embedding AS vec "
               "FROM embeddings a, embeddings c)")
 select("vector_topk", "SELECT query_id, uid, round(score, 6) AS score, rank FROM near", _ALL_PAIRS, near("vpairs", 20))
+select("vector_cells_topk", "SELECT query_id, uid, round(score, 6) AS score, rank FROM near",
+       "centres AS (SELECT vec_id AS cell, embedding AS c FROM embeddings WHERE vec_id < 10)",
+       """celled AS MATERIALIZED (SELECT vec_id AS uid, any_value(embedding) AS vec,
+  arg_min(cell, list_distance(CAST(embedding AS DOUBLE[]), CAST(c AS DOUBLE[]))) AS cell
+  FROM embeddings, centres GROUP BY vec_id)""",
+       "cpairs AS (SELECT vec_id AS query_id, cell AS uid, embedding AS qvec, c AS vec FROM embeddings, centres)",
+       near("cpairs", 2, "probes"),
+       """ppairs AS (SELECT p.query_id, x.uid, e.embedding AS qvec, x.vec FROM probes p
+  JOIN celled x ON x.cell = p.uid JOIN embeddings e ON e.vec_id = p.query_id)""", near("ppairs", 20))
 select("topk_overlap", """SELECT n.query_id, count(*) AS n_exact, count(h.uid) AS n_common,
   round(count(h.uid) / count(*), 6) AS overlap
 FROM near n LEFT JOIN half h ON n.query_id = h.query_id AND n.uid = h.uid GROUP BY 1""",
        _ALL_PAIRS, near("vpairs", 20),
        "hpairs AS (SELECT query_id, uid, qvec[1:32] AS qvec, vec[1:32] AS vec FROM vpairs)", near("hpairs", 20, "half"))
 select("missing_vectors", "SELECT doc_id AS uid FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
-select("vector_upsert", "SELECT doc_id AS uid, 'lettres' AS model, CAST(26 AS INTEGER) AS dim FROM documents")
+select("vector_upsert", """SELECT uid, 'lettres' AS model, CAST(26 AS INTEGER) AS dim,
+  coalesce(round(list_sum([i * l[i] FOR i IN range(1, 27)]) / nullif(sqrt(list_sum([x * x FOR x IN l])), 0), 3), 0.0) AS lettres
+FROM (SELECT doc_id AS uid, [CAST(length(text) - length(replace(lower(text), chr(CAST(96 + i AS INTEGER)), '')) AS DOUBLE)
+  FOR i IN range(1, 27)] AS l FROM documents)""")
 _RANKINGS = """by_length AS (SELECT lang AS query_id, doc_id AS uid, row_number() OVER (
   PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 by_hash AS (SELECT lang AS query_id, doc_id AS uid, row_number() OVER (
@@ -507,7 +519,16 @@ near_ AS MATERIALIZED (SELECT pid, e.nid AS nid, e.d AS d, count(*) AS used
 
 select("knn_neighbours", "SELECT pid, nid, round(d, 6) AS d, used FROM near_",
        CONTRACTS, SIGNED, first_of("signed"), neighbours("firsts", ["montant", "dureeMois"], 5))
-# LOF has no SQL: equal distances flip on last digits; a test compares it with brute force.
+select("lof_score", """SELECT montant, dureeMois, round(-(mean_lrd / lrd), 6) AS anomaly_score_lof
+FROM pts JOIN density USING (pid) JOIN around USING (pid)""",
+       CONTRACTS, SIGNED, first_of("signed"), neighbours("firsts", ["montant", "dureeMois"], 5),
+       "reach AS (SELECT pid AS nid, max(d) AS kd FROM near_ GROUP BY 1)",
+       """density AS (SELECT pid, 1.0 / (sum(used * greatest(kd, d)) / sum(used) + 1e-10) AS lrd
+  FROM near_ JOIN reach USING (nid) GROUP BY 1)""",
+       """around AS (SELECT n.pid, sum(used * lrd) / sum(used) AS mean_lrd
+  FROM near_ n JOIN density g ON g.pid = n.nid GROUP BY 1)""")
+# The detection's imputed and scaled features make equal distances that flip on last digits;
+# a test compares that with brute force.
 
 # Prediction -----------------------------------------------------------------------------------------------
 
