@@ -10,7 +10,7 @@ from tenderlens.operators.bm25 import bm25_rank
 from tenderlens.operators.fusion import fuse_configs, reciprocal_rank_fusion
 from tenderlens.operators.query_log import parse_queries
 from tenderlens.operators.strict_filters import apply_strict_filters, with_filter_id
-from tenderlens.operators.vectors import vector_ann_topk, vector_topk
+from tenderlens.operators.vectors import search_cells, store_cells, vector_ann_topk, vector_topk
 from tenderlens.plans import evaluation as ev
 from tenderlens.plans import search
 
@@ -144,6 +144,22 @@ def test_ann_falls_back_to_exact_and_recalls_well(spark):
     assert near.filter("rank = 1").count() == 600
 
 
+def test_stored_cells_are_searched_by_folder(spark, tmp_path):
+    x, df = unit_vectors(spark, 200, d=4)
+    asked = df.filter("uid % 50 = 0").select(F.col("uid").alias("query_id"), F.col("vec").alias("qvec"))
+    path = str(tmp_path / "index")
+    store_cells(df, path, centres=df.filter("uid >= 195"))
+    stored = spark.read.parquet(f"{path}/cells")
+    near = ((x[:, None, :] - x[None, 195:, :]) ** 2).sum(2).argmin(1) + 195
+    assert {r["uid"]: r["cell"] for r in stored.collect()} == dict(enumerate(near.tolist()))
+    every = search_cells(spark, path, asked, 5, probes=5).select("query_id", "uid", "rank")
+    assert every.exceptAll(vector_topk(df, asked, 5).select("query_id", "uid", "rank")).isEmpty()
+    got = search_cells(spark, path, asked, 200, probes=2).toPandas()
+    for i in range(0, 200, 50):
+        probed = np.lexsort((np.arange(5), -np.round(x[195:] @ x[i], 9)))[:2] + 195
+        assert set(got[got.query_id == i].uid) == set(np.flatnonzero(np.isin(near, probed)).tolist())
+
+
 def ranking(spark, uids):
     return spark.createDataFrame([(0, u, i) for i, u in enumerate(uids, 1)], "query_id int, uid string, rank int")
 
