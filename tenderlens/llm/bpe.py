@@ -211,7 +211,7 @@ class Encoder:
         return ids
 
 
-_INNER = re.compile(r"\s \s")  # a space inside a longer run of white space
+_INNER = re.compile(r"\s \s|\s \Z")  # a space inside a longer run of white space, or at the end of the last one
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str, ids: str):

@@ -318,6 +318,15 @@ def test_encoding_equals_the_public_library(vocabulary, known, text):
     assert data.tobytes().decode() == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(" \n\ta.1"), max_size=12))
+def test_entries_of_several_spaces(text):
+    lines = [(bytes([b]), b) for b in range(256)] + [
+        (w, 256 + i) for i, w in enumerate([b"  ", b" \n", b"\n ", b"    ", b"\t ", b" a", b"  \n"])]
+    own = tiktoken.Encoding("runs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(lines), special_tokens={})
+    assert bpe.Encoder(bpe.Vocabulary(lines, public_tokenizers.PATTERN)).encode(text) == own.encode_ordinary(text)
+
+
 def test_round_trip_edge_cases(edge, none, vocabulary, known):
     out = bpe.round_trip(edge, vocabulary).collect()
     assert len(out) == len(EDGE)
