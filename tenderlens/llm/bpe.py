@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gc
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -169,46 +170,55 @@ class _Pairs(dict):
 
 
 class Encoder:
-    """Encodes texts; remembers the words between single spaces.
+    """Encodes texts; remembers the words between single spaces as packed ids.
 
     A cut before a space that touches a non-space is also a border between pre-tokens (a
     space is only ever the first character of one, or part of a run of white space), so a word
-    can be looked up without splitting it by the pattern again.  What is remembered is bounded.
+    can be looked up without splitting it by the pattern again.  What is remembered is bounded:
+    when the younger half is full it becomes the older one, so frequent words stay.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.piece = vocabulary.encode_piece
         self.split = regex.compile(vocabulary.pattern).findall
-        self.words: dict[str, list[int]] = {}  # by the word after its space
-
-    def _word(self, word: str) -> list[int]:
-        if word.isalpha():
-            found = self.piece(" " + word)  # one pre-token
-        else:
-            found = self._text(" " + word)
-        if len(self.words) >= MEMO:
-            self.words.clear()
+        self.words: dict[str, bytes] = {}  # by the word after its space
+        self.older: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word) or self.older.get(word)
+        if not found:
+            # Letters after a space are one pre-token.
+            found = _packed(self.piece(" " + word)) if word.isalpha() else self._text(" " + word)
         if len(word) <= 64:
+            if len(self.words) >= MEMO // 2:
+                self.older, self.words = self.words, {}
             self.words[word] = found
         return found
 
-    def _text(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def _text(self, text: str) -> bytes:
+        parts = []
         for piece in self.split(text):
             if piece[0] == " " and piece[1:].isalpha():
-                ids += self.words.get(piece[1:]) or self._word(piece[1:])
+                parts.append(self.words.get(piece[1:]) or self._word(piece[1:]))
             else:
-                ids += self.piece(piece)
-        return ids
+                parts.append(_packed(self.piece(piece)))
+        return b"".join(parts)
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids as 32-bit integers, one after the other."""
         if _INNER.search(text):
             return self._text(text)
         first, *rest = text.split(" ")
-        ids, words, new = self._text(first), self.words.get, self._word
-        for word in rest:
-            ids += words(word) or new(word)
-        return ids
+        parts, words, new = [self._text(first)], self.words.get, self._word
+        parts += [words(word) or new(word) for word in rest]
+        return b"".join(parts)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 _INNER = re.compile(r"\s \s|\s \Z")  # a space inside a longer run of white space, or at the end of the last one
@@ -218,12 +228,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: st
     gc.disable()  # nothing here makes cycles, and the remembered words are many
     encoder = vocabulary.encoder = vocabulary.encoder or Encoder(vocabulary)
     for batch in chunks(batches, text):
-        flat, sizes = [], []
-        for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-            found = encoder.encode(value or "")
-            flat += found
-            sizes.append(len(found))
-        column = lists(np.array(flat, np.int32), np.array(sizes, np.int64), pa.int32())
+        found = [encoder.packed(value or "") for value in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        sizes = np.array([len(f) for f in found], np.int64) // 4
+        column = lists(np.frombuffer(b"".join(found), np.int32), sizes, pa.int32())
         yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
 
