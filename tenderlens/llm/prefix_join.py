@@ -4,7 +4,8 @@ Two texts of Jaccard similarity t or more share a token within the first
 n - ceil(t*n) + 1 tokens of any common token order, and at least ``l`` tokens when both
 prefixes are ``l`` - 1 longer.  Every document picks its own ``l`` by estimated cost: a longer
 prefix reads more postings but sends fewer candidates to verification.  A pair must share
-min(l) tokens within the shorter of the two extensions.
+min(l) tokens within the shorter of the two extensions; no ``l`` exceeds ceil(t*n), the least
+overlap that a link of its set can have.
 
 The order is rare first.  Tokens are hashes; document frequencies are counted over the tokens
 whose hash lies below a fixed part of the hash space (the pool, a little wider than a prefix),
@@ -76,6 +77,11 @@ def _base_prefix(n, similar: int):
     return n - (similar * n + 99) // 100 + 1
 
 
+def most_matches(n: int, similar: int) -> int:
+    """The longest extension of a set of n: no link may have to share more than ceil(similar/100 * n) tokens."""
+    return max(1, min(MOST_MATCHES, (similar * n + 99) // 100))
+
+
 def _sketch(docs: DataFrame, words: int, similar: int) -> DataFrame:
     """doc_id, n, signature of the whole set, pool tokens in hash order, how many of them are counted."""
     edge = int(min(POOL * (100 - similar) / 100, 1.0) * (1 << 64)) - 1
@@ -99,10 +105,10 @@ def _sketch(docs: DataFrame, words: int, similar: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sign binary, pool array<long>, counted long")
 
 
-def choose_matches(frequency: np.ndarray, level: np.ndarray) -> int:
-    """The extension with the least estimated cost: postings read plus candidates verified."""
+def choose_matches(frequency: np.ndarray, level: np.ndarray, most: int = MOST_MATCHES) -> int:
+    """The extension up to ``most`` with the least estimated cost: postings read plus candidates verified."""
     costs = []
-    for matches in range(1, MOST_MATCHES + 1):
+    for matches in range(1, most + 1):
         read = float(frequency[level <= matches].sum())
         costs.append(read + VERIFY_COST * read / matches)
     return int(np.argmin(costs)) + 1
@@ -128,7 +134,7 @@ def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
                 k = int(first.sum())
                 place = np.where(first, counted - k + np.arange(len(place)), place)
                 level = np.maximum(place - _base_prefix(n, similar) + 2, 1)
-                matches = choose_matches(often, level)
+                matches = choose_matches(often, level, most_matches(n, similar))
                 keep = level <= matches
                 if keep.any():
                     out.append((doc_id, n, matches, token[keep], level[keep].astype(np.int32)))

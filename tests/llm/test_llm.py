@@ -245,6 +245,18 @@ def test_components_equal_brute_force(spark, words, similar):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
 
+def test_short_texts_with_one_word_appended(spark):
+    rng, rows = random.Random(7), []
+    for i in range(0, 180, 2):
+        text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(5 + i // 2 % 9))
+        rows += [(i, text, "a"), (i + 1, text + " added", "a")]
+    want = brute_components(rows, 5, 80)
+    assert sum(c != i for i, (_, c) in want.items()) == 60  # from 8 words on, the copy is a link
+    out = prefix_join.near_duplicates(docs_of(spark, rows), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert [prefix_join.most_matches(n, 80) for n in (1, 4, 7, 9, 50)] == [1, 4, 6, 8, 8]
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(prefix_join, "BLOCK", 20)
     monkeypatch.setattr(prefix_join, "SHORT_LIST", 4)
