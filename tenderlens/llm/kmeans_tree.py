@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every vector of the table is then put into its leaf.
 A query walks the tree through a priority queue, nearest centre first, and visits leaves in
 that order.  How many leaves are visited is calibrated: for a sample of queries the exact
-neighbours are found, and visits are widened until the mean recall reaches the goal.
+neighbours are found, and visits are widened until the mean recall reaches the goal.  A query
+whose leaves hold too few rows for ``k`` neighbours goes on to further leaves.
 
 Queries and vectors of a leaf meet by a repartition on the leaf.  Large leaves, and leaves
 that very many queries visit, are cut into blocks.  Of equal vectors only the ``k`` + 1
@@ -92,14 +93,15 @@ class KMeansTree:
             todo.extend((self.first[at] + j, rows[near == j]) for j in range(len(kids)))
         return node
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order, ``most`` of them."""
+    def visit(self, q: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: ``most`` of them, and on until they hold ``least`` rows by ``held``."""
         distance = ((self.centers - q) ** 2).sum(1)
-        heap, found = [(0.0, 0)], []
-        while heap and len(found) < most:
+        heap, found, rows = [(0.0, 0)], [], 0
+        while heap and (len(found) < most or (held is not None and rows < least)):
             _, node = heapq.heappop(heap)
             if not self.count[node]:
                 found.append(node)
+                rows += held.get(node, 0) if held is not None else 0
                 continue
             for child in range(self.first[node], self.first[node] + self.count[node]):
                 heapq.heappush(heap, (float(distance[child]), child))
@@ -219,16 +221,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     index = materialize(assign(rows, tree).withColumn("_n", F.row_number().over(copies)).filter(
         F.col("_n") <= k + 1).drop("_n"), "ann-index")
     asked = materialize(prepare(queries, vec_id, vec).withColumnRenamed("vec_id", "query_id"), "ann-queries")
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
+    held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # one row per leaf of the tree
+    shared = rows.sparkSession.sparkContext.broadcast((tree, held))
     most = visits or calibrate(index, asked, tree, k, goal)
+    # A query's own rows are no candidates: one, or as many as repeat its id.
+    repeated = materialize(index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_own")).filter("_own > 1"), "ann-repeated")
+    counted = asked.join(repeated, F.col("query_id") == F.col("vec_id"), "left").select(
+        "query_id", "vec", F.coalesce("_own", F.lit(1)).alias("own"))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, held = shared.value
         for frame in frames:
             if len(frame):
-                found = [shared.value.visit(np.asarray(v), most) for v in frame["vec"]]
-                yield frame.assign(leaf=[np.array(f, np.int32) for f in found])
+                found = [tree.visit(np.asarray(v), most, held, k + own)
+                         for v, own in zip(frame["vec"], frame["own"], strict=True)]
+                yield frame[["query_id"]].assign(leaf=[np.array(f, np.int32) for f in found])
 
-    routed = asked.mapInPandas(route, "query_id long, vec array<double>, leaf array<int>")
+    routed = counted.mapInPandas(route, "query_id long, leaf array<int>")
     visited = materialize(routed.select("query_id", F.explode("leaf").alias("leaf")), "ann-visits")
     blocks = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_rows")).join(
         visited.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_asked")), "leaf")

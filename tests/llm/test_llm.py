@@ -458,6 +458,19 @@ def test_recall_and_equal_vectors(spark):
     assert found[700] == set(range(500, 510)) and found[500] == set(range(501, 511))
 
 
+def test_outliers_beside_groups_of_copies_find_k(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(20, 8)), 100, axis=0)
+    far = np.repeat(rng.normal(size=(2, 8)) * 100, 3, axis=0) + rng.normal(size=(6, 8))
+    x = np.concatenate([x, far])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    queries = frame.filter("vec_id % 5 = 0 or vec_id >= 2000")
+    out = kmeans_tree.search(frame, queries, k=10, vec="v", visits=1).collect()  # as a calibration may find
+    counts = collections.Counter(r.query_id for r in out)
+    assert [counts[q] for q in range(2000, 2006)] == [10] * 6
+    assert len(counts) == 406 and set(counts.values()) == {10}
+
+
 # Secrets
 
 
