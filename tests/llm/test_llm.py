@@ -187,6 +187,15 @@ def test_plain_markup_and_unclosed_elements():
     assert line_blocks.main_text("<article><h1>A</h1><p>B<br></article><footer>f") == "A B"
 
 
+def test_articles_only_add_weight():
+    story, teaser = "word " * 60, "<article><h3>Teaser</h3><p>Short.</p></article>"
+    page = f"<body><div><p>{story}</p><p>End.</p></div>{teaser}{teaser}</body>"
+    assert line_blocks.main_text(page) == story.strip() + " End."
+    for unreal in ("<!-- <main> -->", "<script>var a='<article>'</script>"):
+        assert line_blocks.main_text(f"<body>{unreal}<div><p>{story}</p></div></body>") == story.strip()
+    assert line_blocks.main_text("<div>A note of a few words.</div><article><p>A story, not long.</p></article>") == "A story, not long."
+
+
 def test_extract_edge_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>" + "long text " * 30_000), (4, "u", "<<<>>>&#xZZ;"), (4, "u", "<!-- open")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
