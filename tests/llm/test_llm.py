@@ -196,6 +196,23 @@ def test_articles_only_add_weight():
     assert line_blocks.main_text("<div>A note of a few words.</div><article><p>A story, not long.</p></article>") == "A story, not long."
 
 
+def test_adverts_and_open_tags_drop_nothing_else():
+    long = "word " * 60
+    advert, want = '<div class="ad">Buy</div>', long.strip()
+    assert line_blocks.main_text(f"<div><p>{long}</p>{advert}<p>Short close.</p></div>") == want + " Short close."
+    page = f"<div><p>{long}</p>{advert}<div><p>Mid.</p></div>{advert}<p>{long}</p></div>{advert}<div><p>Other.</p></div>"
+    assert line_blocks.main_text(page) == f"{want} Mid. {want}"
+    assert line_blocks.main_text(f"<div><h1><a href=x>Title</a></h1><p>{long}</p></div>") == "Title " + want
+    assert line_blocks.main_text(f"<article><p>{long}</p></article><article><p>Two.</p></article>") == want + " Two."
+    assert line_blocks.main_text(f"<article><p>{long}<p class=ad>Buy<p>End.</article>") == want + " End."
+    assert line_blocks.main_text(f"<article><div><p class=ad>Buy</div><p>{long}</article>") == want
+    heads = "<h2><a href=x>Head</a></h2>" * 4
+    assert line_blocks.main_text(f"<div><p>{long}</p>{heads}<p>{long}</p></div>") == f"{want} Head Head Head Head {want}"
+    items = f"<ul><li>{long}<li class=share>Share<ul><li>x</li></ul>it<li>Last.</ul><p>End."
+    assert line_blocks.main_text(f"<article>{items}</article>") == want + " Last. End."
+    assert line_blocks.main_text(f"<article><ul><li>{long}<li class=share>Share</ul><p>End.</article>") == want + " End."
+
+
 def test_extract_edge_cases(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>" + "long text " * 30_000), (4, "u", "<<<>>>&#xZZ;"), (4, "u", "<!-- open")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
