@@ -642,22 +642,17 @@ def cross_validate(spark, sf):
     return prediction.summarise_folds(prediction.cross_validate(data, prediction.ridge))
 
 
-# A small search space keeps the registered search short; the library default is larger.
-_SMALL_SPACE = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [1, 5],
-                "max_features": ["sqrt", 0.5]}
-
-
 @registered
 def random_search(spark, sf):
     data, _ = _training(spark, sf)
-    table, _ = prediction.random_search(data.drop("is_test"), n_iter=3, space=_SMALL_SPACE)
+    table, _ = prediction.random_search(data.drop("is_test"))
     return table
 
 
 @registered
 def tuned_vs_default(spark, sf):
     data, _ = _training(spark, sf)
-    return prediction.tuned_vs_default(data, n_iter=3, space=_SMALL_SPACE, n_trees=10, max_depth=6)
+    return prediction.tuned_vs_default(data)
 
 
 # Flagship ------------------------------------------------------------------------------------
