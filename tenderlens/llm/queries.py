@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import (bpe, chat_trees, crf_quality, exact_dedup, kmeans_tree, line_blocks, mixing,
-                            prefix_join, secrets, toxicity)
+from tenderlens.llm import (bpe, chat_trees, crf_quality, exact_dedup, importance, kmeans_tree, line_blocks, merkle,
+                            mixing, prefix_join, rule_forest, secrets, toxicity)
 from tenderlens.llm.common import fold, table
 from tenderlens.llm.oracle import ORACLE
 
@@ -100,7 +100,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         written(F.col("secrets")).alias("spans"), counts[3])
 
 
+def op11_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rule_forest.judge(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.verify(table(spark, sf_dir, "documents"), marked)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_quality, op3_chat_format, op4_mixing, op5_main_text, op6_prefix_join, op7_bpe,
-    op8_toxicity, op9_kmeans_tree, op10_secrets)}
+    op8_toxicity, op9_kmeans_tree, op10_secrets, op11_rule_forest, op12_resampling, op13_merkle)}
 __all__ = ["ORACLE", "QUERIES"]
