@@ -53,13 +53,12 @@ def accent_fold(text: Column) -> Column:
     source, target, multi = _fold_tables()
     wide = "".join(a for a, _ in multi)
     once = F.translate(text, source + wide, target + _MARK * len(wide))
-    # One literal, cut by a constant-folded split: "<char><replacement>" per entry.  Only
-    # the entries of characters that this text holds are applied.
-    entries = F.split(F.lit("\x01".join(a + b for a, b in multi)), "\x01")
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{wide}]"), F.lit(0)))
-    used = F.filter(entries, lambda e: F.array_contains(present, F.substring(e, 1, 1)))
-    expanded = F.aggregate(used, text, lambda acc, e: F.replace(
-        acc, F.substring(e, 1, 1), F.substring(e, 2, 32)))
+    # Two literals, cut by constant-folded splits: the characters and what replaces them.  The
+    # few that a text holds are looked for where it is not ASCII, and replaced one by one.
+    table = F.map_from_arrays(*[F.split(F.lit("\x01".join(column)), "\x01") for column in zip(*multi, strict=True)])
+    rare = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    present = F.array_distinct(F.regexp_extract_all(rare, F.lit(f"[{wide}]"), F.lit(0)))
+    expanded = F.aggregate(present, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c)))
     folded = F.when(F.contains(once, F.lit(_MARK)), F.translate(expanded, source, target)).otherwise(once)
     return F.when(text.rlike(_NON_ASCII), F.regexp_replace(folded, _NON_ASCII, "")).otherwise(text)
 

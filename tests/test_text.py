@@ -45,3 +45,17 @@ def test_relevance(spark):
          ("Travaux de voirie", ["cantine", "repas"]), (None, ["nan"])], "t string, k array<string>")
     got = frame.select(tx.is_relevant(tx.text_key(F.col("t")), tx.keyword_keys(F.col("k")))).collect()
     assert [r[0] for r in got] == [True, False, True]
+
+
+def test_rare_characters_cost_no_more_than_accents(spark):
+    import time
+
+    def seconds(char):
+        long = F.concat(F.repeat(F.lit("abcdefgh "), 10_000), F.lit(char), F.col("id").cast("string"))
+        start = time.perf_counter()
+        spark.range(200).select(F.sum(F.length(tx.accent_fold(long)))).collect()
+        return time.perf_counter() - start
+
+    seconds("é")  # warm up
+    usual = seconds("é")
+    assert all(seconds(c) < 3 * usual + 2 for c in "…½™")
