@@ -14,21 +14,24 @@ SCORE_DIGITS = 9  # rounding before ranking, so that summation order cannot brea
 
 
 def tokenised(corpus: DataFrame, text: str = "objet") -> DataFrame:
-    """(filter_id, uid, words, dl): the corpus cut into words once."""
+    """(set_id, uid, words, dl): every row cut into words once, whatever the number of filters."""
     return materialize(
-        corpus.select("filter_id", "uid", tokens(F.col(text)).alias("words")).withColumn(
+        corpus.select("set_id", "uid", tokens(F.col(text)).alias("words")).withColumn(
             "dl", F.size("words").cast("long")), "words")
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """Documents and mean length per corpus; empty texts count."""
-    return docs.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def corpus_stats(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Documents and mean length per filter, summed over the sets it occurs in; empty texts count."""
+    sums = docs.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length"))
+    return sums.join(sets, "set_id").groupBy("filter_id").agg(
+        F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("avgdl"))
 
 
-def term_stats(docs: DataFrame, corpora: DataFrame) -> DataFrame:
-    """Document frequency and floored idf of every word of every corpus."""
-    frequency = docs.select("filter_id", F.explode(F.array_distinct("words")).alias("token")).groupBy(
-        "filter_id", "token").agg(F.count(F.lit(1)).alias("df"))
+def term_stats(docs: DataFrame, sets: DataFrame, corpora: DataFrame) -> DataFrame:
+    """Document frequency and floored idf of every word of every filter's corpus."""
+    counted = docs.select("set_id", F.explode(F.array_distinct("words")).alias("token")).groupBy(
+        "set_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    frequency = counted.join(sets, "set_id").groupBy("filter_id", "token").agg(F.sum("df").alias("df"))
     raw = frequency.join(corpora, "filter_id").withColumn(
         "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     raw = materialize(raw, "terms")
@@ -38,24 +41,32 @@ def term_stats(docs: DataFrame, corpora: DataFrame) -> DataFrame:
         "raw_idf", "floor_idf")
 
 
+def _single(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A corpus that has ``filter_id`` itself: every filter is a set of its own."""
+    docs = corpus.withColumnRenamed("filter_id", "set_id")
+    return docs, materialize(docs.select("set_id", F.col("set_id").alias("filter_id")).distinct(), "filter-sets")
+
+
 def bm25_statistics(corpus: DataFrame, text: str = "objet") -> DataFrame:
     """Index statistics of one corpus: per word df, idf, total count; N and mean length."""
-    docs = tokenised(corpus.withColumn("filter_id", F.lit("all")), text)
-    terms = term_stats(docs, materialize(corpus_stats(docs), "corpora"))
+    rows, sets = _single(corpus.withColumn("filter_id", F.lit("all")))
+    docs = tokenised(rows, text)
+    terms = term_stats(docs, sets, materialize(corpus_stats(docs, sets), "corpora"))
     counts = docs.select(F.explode("words").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("cf"))
     return terms.join(counts, "token").select("token", "df", "cf", "idf", "n_docs", "avgdl")
 
 
-def _scores(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
+def _scores(docs: DataFrame, sets: DataFrame, query_terms: DataFrame) -> DataFrame:
     """Non-zero scores; only words some query asks for are counted and shuffled."""
-    wanted = query_terms.select("filter_id", "token").distinct()
-    postings = docs.select("filter_id", "uid", "dl", F.explode("words").alias("token")).join(
-        wanted, ["filter_id", "token"], "left_semi").groupBy(
-        "filter_id", "uid", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    query_terms = query_terms.join(sets, "filter_id").drop("filter_id")
+    wanted = query_terms.select("set_id", "token").distinct()
+    postings = docs.select("set_id", "uid", "dl", F.explode("words").alias("token")).join(
+        wanted, ["set_id", "token"], "left_semi").groupBy(
+        "set_id", "uid", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(query_terms, ["filter_id", "token"]).groupBy("query_id", "uid").agg(
+    return postings.join(query_terms, ["set_id", "token"]).groupBy("query_id", "uid").agg(
         F.round(F.sum(F.col("qtf") * F.col("idf") * weight), SCORE_DIGITS).alias("bm25_score")
     ).filter(F.col("bm25_score") != 0)
 
@@ -66,25 +77,29 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_rank(corpus: DataFrame, queries: DataFrame, k: int = 50, text: str = "objet",
-              include_zero_scores: bool = True) -> DataFrame:
+              include_zero_scores: bool = True, sets: DataFrame | None = None) -> DataFrame:
     """(query_id, uid, bm25_score, rank) with rank <= k per query.
 
-    ``corpus`` has filter_id, uid and the text; ``queries`` query_id, filter_id and
-    texte_libre.  Blank queries return nothing.  With ``include_zero_scores`` a
+    ``corpus`` has filter_id, uid and the text, or set_id in place of filter_id when ``sets``
+    says which filters (set_id, filter_id) a row belongs to; ``queries`` has query_id, filter_id
+    and texte_libre.  Blank queries return nothing.  With ``include_zero_scores`` a
     query that matches fewer than k documents is filled up with documents of score
     zero in uid order, without scoring every (query, document) pair.
     """
     asked = queries.filter(F.trim("texte_libre") != "").select(
         "query_id", "filter_id", tokens(F.col("texte_libre")).alias("words"))
+    if sets is None:
+        corpus, sets = _single(corpus)
     docs = tokenised(corpus, text)
-    corpora = materialize(corpus_stats(docs), "corpora")
-    terms = term_stats(docs, corpora)
+    corpora = materialize(corpus_stats(docs, sets), "corpora")
+    terms = term_stats(docs, sets, corpora)
+    members = docs.select("set_id", "uid").join(sets, "set_id").select("filter_id", "uid")
     query_terms = asked.select("query_id", "filter_id", F.explode("words").alias("token")).groupBy(
         "query_id", "filter_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
     query_terms = materialize(
         terms.join(query_terms, ["filter_id", "token"]).select(
             "query_id", "filter_id", "token", "qtf", "idf", "avgdl"), "query_terms")
-    scored = _scores(docs, query_terms)
+    scored = _scores(docs, sets, query_terms)
     if not include_zero_scores:
         return _top(scored, k)
     best = materialize(_top(scored, k), "bm25_top")
@@ -93,7 +108,7 @@ def bm25_rank(corpus: DataFrame, queries: DataFrame, k: int = 50, text: str = "o
     # them in ``best``, so among the first 2k documents of its corpus at least k are
     # zero (or the corpus is smaller).
     firsts = Window.partitionBy("filter_id").orderBy("uid")
-    pool = materialize(docs.select("filter_id", "uid").withColumn(
+    pool = materialize(members.withColumn(
         "_rn", F.row_number().over(firsts)).filter(F.col("_rn") <= 2 * k), "pool")
     found = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("bm25_score").alias("_min"))
     open_queries = asked.select("query_id", "filter_id").join(found, "query_id", "left").filter(
@@ -106,8 +121,8 @@ def bm25_rank(corpus: DataFrame, queries: DataFrame, k: int = 50, text: str = "o
     hard = asked.join(found.filter((F.col("_n") >= k) & (F.col("_min") < 0)), "query_id").select(
         "query_id", "filter_id")
     if not hard.isEmpty():
-        matched = _scores(docs, query_terms.join(hard, ["query_id", "filter_id"], "left_semi"))
-        zeros = hard.join(docs.select("filter_id", "uid"), "filter_id").join(
+        matched = _scores(docs, sets, query_terms.join(hard, ["query_id", "filter_id"], "left_semi"))
+        zeros = hard.join(members, "filter_id").join(
             matched, ["query_id", "uid"], "left_anti").withColumn("bm25_score", F.lit(0.0))
         parts.append(_top(zeros.select("query_id", "uid", "bm25_score"), k).drop("rank"))
     merged = parts[0]

@@ -1,32 +1,45 @@
-"""Vectors kept as a Parquet table partitioned by model, appended to over time."""
+"""Vectors kept as a Parquet table, one folder per commit and in it one per model.
+
+A commit writes a folder of its own, so a writer that is lost leaves nothing that is read, one
+that is repeated under its name replaces what it wrote, and of two writers that encode the
+same texts the later one counts.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlens.runtime import materialize
 from tenderlens.schema import VECTOR_SCHEMA
 
 Encoder = Callable[[list[str]], "list[list[float]]"]
+_STORED = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("commit", T.StringType())])
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Stored vectors; a store that does not exist yet is empty."""
+    """The newest vector of every uid and model; a store that does not exist yet is empty."""
     try:
-        return spark.read.schema(VECTOR_SCHEMA).parquet(path)
+        rows = spark.read.schema(_STORED).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], VECTOR_SCHEMA)
         raise
+    return rows.groupBy("uid", "model").agg(F.max_by("vec", "commit").alias("vec"))
 
 
-def append_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.select("uid", "vec", "model").write.mode("append").partitionBy("model").parquet(path)
+def append_vectors(vectors: DataFrame, path: str, commit: str | None = None) -> None:
+    """Write one commit.  Commits count in the order of their names, by default the time they began;
+    a name that exists already is replaced."""
+    commit = commit or f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    vectors.select("uid", "vec", "model").write.mode("overwrite").partitionBy("model").parquet(f"{path}/commit={commit}")
 
 
 def missing_uids(uids: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
@@ -62,5 +75,7 @@ def upsert_vectors(texts: DataFrame, path: str, model: str, encoder: Encoder,
     todo = missing_uids(
         texts.groupBy(F.col("uid").cast("string").alias("uid")).agg(F.min(text).alias(text)),
         read_vectors(spark, path), model)
-    append_vectors(materialize(encode(todo, model, encoder, text), "encoded"), path)
+    encoded = materialize(encode(todo, model, encoder, text), "encoded")
+    if not encoded.isEmpty():
+        append_vectors(encoded, path)
     return read_vectors(spark, path)

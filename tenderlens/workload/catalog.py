@@ -404,6 +404,16 @@ def hybrid_search_matches_only(spark, sf):
     return rounded(search.hybrid_results(parts, weights=[1.0, 3.0]).select(*RESULT_COLUMNS), 9)
 
 
+@registered
+def hybrid_search_encoded(spark, sf):
+    """Over all documents: the store is empty at first and knows French texts before the search."""
+    path, docs = shared_path(spark, "store"), b.corpus(spark, sf)
+    vector_store.upsert_vectors(docs.filter(F.col("acheteur_region_nom") == "Bretagne"), path, "lettres", letter_shares)
+    results = search.hybrid_search(docs, b.query_log(spark, sf), None, None, ["montant"],
+                                   encoding=search.Encoding(letter_shares, path, "lettres"))
+    return rounded(results.select(*RESULT_COLUMNS), 9)
+
+
 @registered
 def search_explain(spark, sf):
     return search.explain_search(_parts(spark, sf))

@@ -401,12 +401,30 @@ for _key, _zeros, _w in (("hybrid_search", True, ("1.0", "1.0")),
                          ("hybrid_search_matches_only", False, ("1.0", "3.0"))):
     select(_key, """SELECT t.query_id, t.uid, t.rank, round(t.rrf_score, 9) AS rrf_score, c.montant,
   c.acheteur_region_nom FROM top t JOIN corpus c USING (uid)""", *hybrid(_zeros, _w))
+
+
+def letters(text: str) -> str:
+    """Unit vector of letter counts in single precision."""
+    counts = f"""[CAST(length({text}) - length(replace(lower({text}), chr(CAST(96 + i AS INTEGER)), '')) AS DOUBLE)
+    FOR i IN range(1, 27)]"""
+    return f"(SELECT [CAST(x / n AS FLOAT) FOR x IN l] FROM (SELECT l, CASE list_sum([x * x FOR x IN l]) WHEN 0 THEN 1.0 " \
+           f"ELSE sqrt(list_sum([x * x FOR x IN l])) END AS n FROM (SELECT {counts} AS l)))"
+
+
+select("hybrid_search_encoded", """SELECT t.query_id, t.uid, t.rank, round(t.rrf_score, 9) AS rrf_score, c.montant,
+  c.acheteur_region_nom FROM top t JOIN corpus c USING (uid)""", *[c if c != _NEAR_PAIRS else f"""
+lv AS MATERIALIZED (SELECT uid, {letters("objet")} AS vec FROM corpus),
+npairs AS (SELECT p.query_id, s.uid, p.qvec, lv.vec FROM (SELECT query_id, {letters("texte_libre")} AS qvec FROM parsed
+  WHERE trim(texte_libre) <> '') p JOIN subset s USING (query_id) JOIN lv USING (uid))""" for c in hybrid()])
 select("search_explain", """SELECT p.query_id, p.region AS region_filtree, p.montant_min AS montant_min_applique,
   p.montant_eleve_qualitatif, p.texte_libre AS texte_recherche,
   (SELECT count(*) FROM corpus) AS n_marches_avant_filtre, coalesce(a.n, 0) AS n_marches_apres_filtre_strict,
   CASE WHEN a.n > 0 AND trim(p.texte_libre) <> '' THEN coalesce(b.n, 0) END AS n_candidats_bm25,
-  CASE WHEN a.n > 0 AND trim(p.texte_libre) <> '' THEN coalesce(v.n, 0) END AS n_candidats_embeddings
-FROM parsed p LEFT JOIN (SELECT query_id, count(*) AS n FROM subset GROUP BY 1) a USING (query_id)
+  CASE WHEN a.n > 0 AND trim(p.texte_libre) <> '' THEN coalesce(v.n, 0) END AS n_candidats_embeddings,
+  CASE WHEN a.n > 0 AND trim(p.texte_libre) <> '' THEN a.n - a.known END AS n_marches_sans_vecteur,
+  CASE WHEN a.n > 0 AND trim(p.texte_libre) <> '' THEN p.query_id NOT IN (SELECT vec_id FROM embeddings) END AS requete_sans_vecteur
+FROM parsed p LEFT JOIN (SELECT query_id, count(*) AS n, count(vec_id) AS known FROM subset LEFT JOIN embeddings ON vec_id = uid GROUP BY 1) a
+  USING (query_id)
 LEFT JOIN (SELECT query_id, count(*) AS n FROM bm25 GROUP BY 1) b USING (query_id)
 LEFT JOIN (SELECT query_id, count(*) AS n FROM near GROUP BY 1) v USING (query_id)""", *hybrid())
 select("filter_only_search", """SELECT query_id, uid, rank, montant FROM (

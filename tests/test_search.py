@@ -255,3 +255,61 @@ def test_ragged_vectors_are_refused(spark):
     queries = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, qvec array<double>")
     with pytest.raises(Exception, match="has 1 components, the queries have 2"):
         vector_topk(vectors, queries, 2).collect()
+
+
+def test_search_encodes_what_the_store_lacks(spark, tmp_path):
+    corpus = spark.createDataFrame([
+        ("a", "travaux de voirie", 10.0, "Bretagne", 1), ("b", "cantine scolaire", 20.0, "Bretagne", 1),
+        ("c", "entretien voirie", 30.0, "Corse", 1), ("d", None, 30.0, "Bretagne", 1)],
+        "uid string, objet string, montant double, acheteur_region_nom string, n int")
+    queries = spark.createDataFrame([(1, "voirie en Bretagne"), (2, "en Bretagne")], "query_id int, requete string")
+    path, seen = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return [[float("voirie" in t), float("cantine" in t), 0.1] for t in texts]
+
+    def run():
+        return [(r["query_id"], r["uid"]) for r in search.hybrid_search(
+            corpus, queries, None, None, ["n"], encoding=search.Encoding(encoder, path, "m")).orderBy("query_id", "rank").collect()]
+
+    assert run() == [(1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "b"), (2, "d")]
+    assert seen.value == 4  # three contracts of the region and one query with text
+    assert run() == run() and seen.value == 6  # later on only the query
+    parts = search.search_parts(corpus, queries, None, None, ["n"], encoding=search.Encoding(encoder, path, "m"))
+    notes = {r["query_id"]: r for r in search.explain_search(parts).collect()}
+    assert notes[1]["n_marches_sans_vecteur"] == 0 and notes[1]["requete_sans_vecteur"] is False
+    few = spark.createDataFrame([("a", [1.0, 0.0])], "uid string, vec array<double>")
+    none = spark.createDataFrame([], "query_id int, qvec array<double>")
+    notes = {r["query_id"]: r for r in search.explain_search(
+        search.search_parts(corpus, queries, few, none, ["n"])).collect()}
+    assert notes[1]["n_marches_sans_vecteur"] == 2 and notes[1]["requete_sans_vecteur"] is True
+    assert notes[2]["n_marches_sans_vecteur"] is None
+
+
+def test_many_filters_share_one_copy_of_the_corpus(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"u{i % 90}", f"mot{i % 7} texte", float(rng.integers(0, 300)), rng.choice(["Bretagne", "Corse", None]), i)
+            for i in range(400)]
+    corpus = spark.createDataFrame(rows, "uid string, objet string, montant double, acheteur_region_nom string, n int")
+    asked = [(i, f"mot{i % 7} " + ["", "en Bretagne ", "en Corse "][i % 3] + (f"plus de {i} euros" if i % 4 else ""))
+             for i in range(150)]
+    queries = spark.createDataFrame(asked, "query_id int, requete string")
+    parts = search.search_parts(corpus, queries, spark.createDataFrame([("u1", [1.0])], "uid string, vec array<double>"),
+                                spark.createDataFrame([(i, [1.0]) for i, _ in asked], "query_id int, qvec array<double>"), ["n"])
+    assert parts.filtered.sets.select("filter_id").distinct().count() > 63  # more than one word of a bitmap
+    assert parts.filtered.rows.count() == 400  # every corpus row once, whatever the number of filters
+    kept = parts.filtered.kept
+    assert kept.count() == kept.select("row_id").distinct().count() <= 400
+    got = {(r["filter_id"], r["uid"], r["n"]) for r in parts.subset.collect()}
+    want = set()
+    for p in parts.parsed.collect():
+        first = {}
+        for uid, _, amount, region, n in rows:
+            if (p.region is None or p.region == region) and (p.montant_min is None or amount >= p.montant_min):
+                first.setdefault(uid, n)
+        want |= {(p.filter_id, uid, n) for uid, n in first.items()}
+    assert got == want
+    near = {r["query_id"] for r in parts.vectors.collect()}
+    members = {(f, u) for f, u, _ in want}
+    assert near == {p.query_id for p in parts.parsed.collect() if (p.filter_id, "u1") in members}

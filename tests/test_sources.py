@@ -64,6 +64,20 @@ def test_vector_store(spark, tmp_path):
     assert read_vectors(spark, path).groupBy("model").count().count() == 2
 
 
+def test_vector_commits_are_idempotent(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def vectors(*pairs):
+        return spark.createDataFrame([(u, "m", [float(x)]) for u, x in pairs], "uid string, model string, vec array<float>")
+
+    for _ in range(2):  # a retried append
+        append_vectors(vectors(("a", 1), ("b", 2)), path, "00")
+    assert read_vectors(spark, path).count() == spark.read.parquet(path).count() == 2
+    append_vectors(vectors(("b", 3), ("c", 4)), path)  # a second writer that encoded b as well
+    stored = {r["uid"]: r["vec"][0] for r in read_vectors(spark, path).collect()}
+    assert stored == {"a": 1.0, "b": 3.0, "c": 4.0}
+
+
 def test_materialize_reads_the_session_setting(spark):
     folder = shared_dir(spark)
     stored = materialize(spark.range(3), "probe")
