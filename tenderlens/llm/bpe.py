@@ -22,9 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tenderlens.llm.common import chunks, lists
+from tenderlens.llm.common import Shared, chunks, lists
 
-MEMO = 250_000  # words, and pairs of parts, that a Python worker remembers; then it starts afresh
+MEMO_BYTES = 192 << 20  # memory for the words that a Python worker remembers, about
+_ENTRY = 240  # bytes that a remembered word takes besides its ids and letters
 
 
 class PerfectHash:
@@ -92,7 +93,12 @@ class Vocabulary:
         for k, r in lines:
             text[r] = k
         self.text, self.encoder = text, None
-        self.pairs = _Pairs(self)
+        # Every way to put an entry together from two: a pair that is not here never merges.
+        ranks = dict(lines)
+        joins = [(ranks[k[:i]] << 32 | ranks[k[i:]], r) for k, r in lines for i in range(1, len(k))
+                 if k[:i] in ranks and k[i:] in ranks]
+        self.joins = np.array(joins, np.int64).reshape(-1, 2)
+        self.pairs = dict(joins)
         self.bytes = [self.whole.get(bytes([b])) for b in range(256)]
         if min(self.bytes) < 0:
             raise ValueError("a byte-level vocabulary holds all 256 bytes")
@@ -108,28 +114,32 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is not a vocabulary entry."""
-        pairs, n = self.pairs, len(piece)
-        ids = [self.bytes[b] for b in piece]  # id of the part that begins here; -1: merged away
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []  # rank of a pair, then where its left part begins
-        for i in range(n - 1):
-            if (r := pairs[ids[i] << 32 | ids[i + 1]]) >= 0:
-                heap.append(r << 32 | i)
+        rank_of, n = self.pairs.get, len(piece)
+        of_byte = self.bytes
+        ids = [of_byte[b] for b in piece]  # id of the part that begins here; -1: merged away
+        # Rank of a pair, then where its left part begins; lowest first.
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_of(a << 32 | b)) is not None]  # noqa: B905
+        if not heap:
+            return ids
         heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             r, i = top >> 32, top & 0xFFFFFFFF
-            j, left = after[i], ids[i]
-            if left < 0 or j >= n or pairs[left << 32 | ids[j]] != r:
+            left = ids[i]
+            if left < 0:
+                continue
+            j = after[i]
+            if j >= n or rank_of(left << 32 | ids[j]) != r:
                 continue  # one of the two parts has changed since
             ids[i], ids[j] = r, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (up := pairs[r << 32 | ids[k]]) >= 0:
+                if (up := rank_of(r << 32 | ids[k])) is not None:
                     heappush(heap, up << 32 | i)
             h = before[i]
-            if h >= 0 and (up := pairs[ids[h] << 32 | r]) >= 0:
+            if h >= 0 and (up := rank_of(ids[h] << 32 | r)) is not None:
                 heappush(heap, up << 32 | h)
         return [x for x in ids if x >= 0]
 
@@ -143,7 +153,7 @@ class Vocabulary:
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.pairs = _Pairs(self)
+        self.pairs = dict(self.joins.tolist())
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all rows, byte offsets of the rows) for rows of ``sizes`` ids."""
@@ -155,27 +165,13 @@ class Vocabulary:
         return self.data[place], np.concatenate([[0], stops])[rows]
 
 
-class _Pairs(dict):
-    """Two adjacent parts (left id << 32 | right id) -> id of both as one entry, or -1."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.text, self.whole = vocabulary.text, vocabulary.whole
-
-    def __missing__(self, key: int) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[key] = self.whole.get(self.text[key >> 32] + self.text[key & 0xFFFFFFFF])
-        return found
-
-
 class Encoder:
     """Encodes texts; remembers the words between single spaces as packed ids.
 
     A cut before a space that touches a non-space is also a border between pre-tokens (a
     space is only ever the first character of one, or part of a run of white space), so a word
-    can be looked up without splitting it by the pattern again.  What is remembered is bounded:
-    when the younger half is full it becomes the older one, so frequent words stay.
+    can be looked up without splitting it by the pattern again.  What is remembered is bounded
+    in bytes: when the younger half is full it becomes the older one, so frequent words stay.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -183,6 +179,7 @@ class Encoder:
         self.split = regex.compile(vocabulary.pattern).findall
         self.words: dict[str, bytes] = {}  # by the word after its space
         self.older: dict[str, bytes] = {}
+        self.room = MEMO_BYTES // 2
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word) or self.older.get(word)
@@ -190,9 +187,10 @@ class Encoder:
             # Letters after a space are one pre-token.
             found = _packed(self.piece(" " + word)) if word.isalpha() else self._text(" " + word)
         if len(word) <= 64:
-            if len(self.words) >= MEMO // 2:
-                self.older, self.words = self.words, {}
+            if self.room <= 0:
+                self.older, self.words, self.room = self.words, {}, MEMO_BYTES // 2
             self.words[word] = found
+            self.room -= _ENTRY + len(found)
         return found
 
     def _text(self, text: str) -> bytes:
@@ -225,10 +223,13 @@ _INNER = re.compile(r"\s \s|\s \Z")  # a space inside a longer run of white spac
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str, ids: str):
-    gc.disable()  # nothing here makes cycles, and the remembered words are many
     encoder = vocabulary.encoder = vocabulary.encoder or Encoder(vocabulary)
     for batch in chunks(batches, text):
-        found = [encoder.packed(value or "") for value in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        gc.disable()  # nothing here makes cycles, and the remembered words are many
+        try:
+            found = [encoder.packed(value or "") for value in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        finally:
+            gc.enable()
         sizes = np.array([len(f) for f in found], np.int64) // 4
         column = lists(np.frombuffer(b"".join(found), np.int32), sizes, pa.int32())
         yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
@@ -252,7 +253,7 @@ _IDS = T.ArrayType(T.IntegerType())
 
 def _map(docs: DataFrame, vocabulary: Vocabulary, added: dict[str, T.DataType], *steps) -> DataFrame:
     """One pass through Python; the broadcast vocabulary, with what it remembers, serves all tasks of a worker."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = Shared(docs.sparkSession, vocabulary)
     docs = docs.drop(*added)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added.items()]])
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Shared:
+    """An object of this package, sent to every worker once and by value.
+
+    A broadcast is pickled by reference, which needs the package on the worker; the bytes of a
+    pickle by value do not.  A worker unpickles them once and keeps the object beside them.
+    """
+
+    def __init__(self, spark: SparkSession, held: Any):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(held))
+
+    @property
+    def value(self) -> Any:
+        if not hasattr(self._sent, "_held"):
+            self._sent._held = pickle.loads(self._sent.value)
+        return self._sent._held
+
+
 def fold(id_column: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts, F.lit(0))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tenderlens.llm.common import SPACE, SpanHash, byte_class, chunks, mix, split_runs, utf8
+from tenderlens.llm.common import Shared, SPACE, SpanHash, byte_class, chunks, mix, split_runs, utf8
 from tenderlens.llm.training import labelled_sample
 
 _CLASSES = [
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: LineCrf, text: str = "text", out: str = "quali
 
     Rows and other columns stay; an earlier column of that name is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     docs = docs.drop(out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: LineCrf, text: str = "text", out: str = "quali
 
 def line_labels(docs: DataFrame, model: LineCrf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line number (from 0), n_bytes and P(good) of every line."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     rows = docs.select(doc_id, text)
     schema = T.StructType([rows.schema[doc_id], T.StructField("line", T.IntegerType()),
                            T.StructField("n_bytes", T.LongType()), T.StructField("good", T.DoubleType())])

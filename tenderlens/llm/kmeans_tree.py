@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderlens.llm.common import Shared
 from tenderlens.runtime import materialize
 
 SAMPLE = 16_384  # vectors the tree is fitted on, at most
@@ -128,7 +129,7 @@ def fit_tree(rows: DataFrame, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS)
 
 def assign(rows: DataFrame, tree: KMeansTree) -> DataFrame:
     """Every vector with its leaf: the index."""
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
+    shared = Shared(rows.sparkSession, tree)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -222,7 +223,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
         F.col("_n") <= k + 1).drop("_n"), "ann-index")
     asked = materialize(prepare(queries, vec_id, vec).withColumnRenamed("vec_id", "query_id"), "ann-queries")
     held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # one row per leaf of the tree
-    shared = rows.sparkSession.sparkContext.broadcast((tree, held))
+    shared = Shared(rows.sparkSession, (tree, held))
     most = visits or calibrate(index, asked, tree, k, goal)
     # A query's own rows are no candidates: one, or as many as repeat its id.
     repeated = materialize(index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_own")).filter("_own > 1"), "ann-repeated")

@@ -254,3 +254,39 @@ def test_lag_and_lead_stop_at_the_run(spark):
     nodes = spark.createDataFrame([(0, i, 20, f"<{i}>") for i in range(20)], "tree long, pos long, n long, node string")
     parents = {r.pos: r.node for r in merkle.parents(nodes).collect()}
     assert parents == {0: h(*[f"<{i}>" for i in range(16)]), 1: h(*[f"<{i}>" for i in range(16, 20)])}
+
+
+# Workers that cannot import the package
+
+
+def test_models_reach_workers_without_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from tenderlens.llm import bpe, kmeans_tree, rule_forest
+from tenderlens.llm.queries import vocabulary
+from tenderlens.session import local_session
+spark = local_session("away", 2)
+def importable(_):
+    try:
+        import tenderlens
+        yield 1
+    except ImportError:
+        yield 0
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(importable).first() == 0
+rows = spark.createDataFrame([(i, [float(i % 7), float(i + 1)]) for i in range(60)], "vec_id long, v array<double>")
+assert kmeans_tree.search(rows, rows.limit(3), k=2, vec="v").count() == 6
+docs = spark.createDataFrame([(1, "hello there"), (2, None)], "doc_id long, text string")
+assert bytes(bpe.round_trip(docs, vocabulary(spark)).filter("doc_id = 1").first().decoded) == b"hello there"
+labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+assert rule_forest.judge(docs, labels).count() == 2
+print("all there")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all there" in done.stdout, done.stderr[-2000:]
