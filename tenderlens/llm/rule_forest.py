@@ -189,11 +189,14 @@ def grow(points: np.ndarray, seed: int = 42, trees: int = TREES, sample: int = S
 
 def fit(stats: DataFrame, doc_id: str = "doc_id", seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> Forest:
     """A forest on at most ``trees`` x ``sample`` rows with words, drawn by a hash of id and statistics."""
-    drawn = stats.filter("n_words > 0").select(
-        F.xxhash64(F.lit(seed), F.col(doc_id), *COUNTS).alias("_draw"),
-        *[f.alias(f"_f{i}") for i, f in enumerate(features())])
+    rows, need = stats.filter("n_words > 0"), trees * sample
+    # About twice the rows needed pass the draw, however many tasks there are.
+    share = min(1.0, 2.0 * need / max(rows.count(), 1))
+    drawn = rows.select(F.xxhash64(F.lit(seed), F.col(doc_id), *COUNTS).alias("_draw"),
+                        *[f.alias(f"_f{i}") for i, f in enumerate(features())])
+    drawn = drawn.filter(F.pmod("_draw", F.lit(1 << 30)) < int(share * (1 << 30)))
     order = ["_draw", *[f"_f{i}" for i in range(len(features()))]]
-    points = drawn.orderBy(*order).limit(trees * sample).drop("_draw").toPandas().to_numpy(np.float64)
+    points = drawn.orderBy(*order).limit(need).drop("_draw").toPandas().to_numpy(np.float64)
     return grow(points, seed, trees, sample)
 
 
