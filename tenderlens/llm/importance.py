@@ -28,8 +28,8 @@ from tenderlens.runtime import materialize
 
 BUCKETS = 10_000
 LONG_WORD = 64  # bytes of a word that are hashed side by side with other words; the rest goes word by word
-DIGIT_BITS = 11
-BLOCK = 1 << 16  # consecutive positions whose digits are counted together
+DIGIT_BITS = 8
+BLOCK = 1 << 14  # consecutive positions whose digits are counted together
 _FLIP = 1 << 63
 
 
