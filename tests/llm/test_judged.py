@@ -290,3 +290,21 @@ print("all there")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all there" in done.stdout, done.stderr[-2000:]
+
+
+# Labelled samples
+
+
+def test_one_huge_text_does_not_end_the_labelled_sample(spark):
+    from tenderlens.llm.training import labelled_sample
+
+    docs = docs_of(spark, [(i, "x" * (5000 if i % 10 == 0 else 50), "a") for i in range(100)] + [(7, "a", "a")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    taken = labelled_sample(docs, labels, "quality", 3, 1, max_bytes=16_000).to_pylist()
+    want = {i for i in range(100) if i % 10 and fold_of(i, 3) != 1}
+    assert {r["doc_id"] for r in taken} == want and {r["label"] for r in taken} == {0, 1}
+    assert all(r["text"] == "a" for r in taken if r["doc_id"] == 7)  # of repeated ids the smallest text
+    odd = labels.withColumn("quality", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1))
+    with pytest.raises(ValueError, match="labelled"):
+        labelled_sample(docs, odd, "quality", 3, 1, max_bytes=16_000)
+    assert labelled_sample(docs, labels.limit(0), "quality", 3, 1).num_rows == 0
