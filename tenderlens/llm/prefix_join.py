@@ -15,8 +15,16 @@ token that occurs once in the corpus cannot match and is dropped after counting.
 Candidates are gathered into clusters before anything large moves: pairs from short posting
 lists that share enough tokens, and stars over the long lists, where listing all pairs would
 be quadratic.  Then each candidate text travels to its cluster once, pairs that share enough
-prefix tokens are compared in full, and a spanning forest of the links is returned: rows stay
-linear in the documents and the connected components are exact.
+prefix tokens are compared in full, and a spanning forest of the links is returned; the
+connected components are exact.
+
+Clusters too large to compare in one group are narrowed first.  Their documents get a new order,
+over all of their tokens instead of the pool, so that a passage many of them hold no longer
+reaches their prefixes.  In what is still large, every member meets a few pivots, the members
+with the largest share of tokens that others have too.  Jaccard distance obeys the triangle
+inequality: a member whose pivot is, by distance, out of reach of all that the pivot's links
+do not join goes, and so do the pivots.  Rounds end when they no longer help; what is left is compared block by
+block, where copies of a text grow with the size of that rest.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.llm.common import LOWER, SPACE, SpanHash, chunks, lists, mix, split_runs, utf8
@@ -40,6 +48,8 @@ VERIFY_COST = 8.0  # cost of one verification against one posting read
 SHORT_LIST = 24  # postings up to which all pairs of a list are listed
 SMALL_IDS = 1_000_000  # candidate ids (8 MB) that may be broadcast to the texts; beyond, the texts are shuffled
 BLOCK = 384  # documents of a cluster that are compared in one group with another block
+PIVOTS = 8  # documents of a large cluster that all its members are compared with in a round
+WORTH = 0.25  # share of the members that a round must settle for another one to follow
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -82,9 +92,12 @@ def most_matches(n: int, similar: int) -> int:
     return max(1, min(MOST_MATCHES, (similar * n + 99) // 100))
 
 
-def _sketch(docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """doc_id, n, signature of the whole set, pool tokens in hash order, how many of them are counted."""
-    edge = int(min(POOL * (100 - similar) / 100, 1.0) * (1 << 64)) - 1
+def _sketch(docs: DataFrame, words: int, similar: int, pool: float = POOL) -> DataFrame:
+    """doc_id, n, signature of the whole set, pool tokens in hash order, how many of them are counted.
+
+    The pool is ``pool`` times as wide as a prefix, and all tokens at most.
+    """
+    edge = int(min(pool * (100 - similar) / 100, 1.0) * (1 << 64)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -115,10 +128,11 @@ def choose_matches(frequency: np.ndarray, level: np.ndarray, most: int = MOST_MA
 
 
 def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
-    """doc_id, n, matches, and the (token, level) of its adaptive prefix.
+    """doc_id, n, matches, the (token, level) of its adaptive prefix, and how much it has in common.
 
     ``shared`` has doc_id, n, counted and the tokens that other documents emitted too, as
     (place in hash order, frequency, token).  ``level`` is the least extension that holds a token.
+    ``central`` is the share of the counted tokens that others have too, ``often`` their mean frequency.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -132,15 +146,28 @@ def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
                 order = np.lexsort((place, np.where(first, often, 0), ~first))
                 place, often, token, first = place[order], often[order], token[order], first[order]
                 k = int(first.sum())
+                central, mean = (k / counted, float(often[:k].mean())) if k else (0.0, 0.0)
                 place = np.where(first, counted - k + np.arange(len(place)), place)
                 level = np.maximum(place - _base_prefix(n, similar) + 2, 1)
                 matches = choose_matches(often, level, most_matches(n, similar))
                 keep = level <= matches
                 if keep.any():
-                    out.append((doc_id, n, matches, token[keep], level[keep].astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "matches", "tokens", "levels"])
+                    out.append((doc_id, n, matches, token[keep], level[keep].astype(np.int32), central, mean))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "matches", "tokens", "levels", "central", "often"])
+
+    return shared.mapInPandas(run, "doc_id long, n long, matches int, tokens array<long>, levels array<int>, "
+                                   "central double, often double")
+
 
-    return shared.mapInPandas(run, "doc_id long, n long, matches int, tokens array<long>, levels array<int>")
+def _ordered(base: DataFrame, similar: int, without: DataFrame | None = None) -> DataFrame:
+    """The prefixes of sketched documents but those of ``without`` (doc_id, sign), whose tokens still count."""
+    frequent = base.select(F.explode("pool").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = base if without is None else base.join(without, ["doc_id", "sign"], "left_anti")
+    emitted = own.filter("doc_id is not null").select("doc_id", "n", "counted", F.posexplode("pool").alias("pos", "token"))
+    shared = emitted.join(frequent, "token").groupBy("doc_id", "n", "counted").agg(
+        F.collect_set(F.struct("pos", "df", "token")).alias("tokens"))
+    return materialize(_prefixes(shared, similar), "near-prefixes")
 
 
 def _candidates(prefixes: DataFrame, similar: int) -> DataFrame:
@@ -214,14 +241,129 @@ def verify_group(ids, sets, matches, tokens, levels, second, similar: int) -> li
     return found
 
 
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``nodes``; from here on only candidates move."""
+    wanted = nodes.select("node")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted
+    return docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
+
+
+def _distances(pivots: list[np.ndarray], s: np.ndarray) -> np.ndarray:
+    """Jaccard distances of a sorted set to the pivots' sorted sets."""
+    overlap = np.array([len(np.intersect1d(p, s, assume_unique=True)) for p in pivots])
+    return 1 - overlap / np.maximum(np.array([len(p) for p in pivots]) + len(s) - overlap, 1)
+
+
+def meet_pivots(pivots: list[np.ndarray], similar: int) -> list[int]:
+    """The hue of each pivot: the first pivot that it is linked with, in steps."""
+    forest = _Forest(len(pivots))
+    for i, s in enumerate(pivots):
+        for j in range(i):
+            overlap = len(np.intersect1d(pivots[j], s, assume_unique=True))
+            if linked(overlap, len(pivots[j]), len(s), similar):
+                forest.join(i, j)
+    return [forest.find(i) for i in range(len(pivots))]
+
+
+def _pivot_round(docs: DataFrame, prefixes: DataFrame, large: DataFrame, words: int,
+                 similar: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with the pivots of large clusters, and the members (node, component) not settled by them.
+
+    A member is dealt by its cluster and a salt, the pivots go to every salt, so no task gets a
+    whole cluster.  Distances are to pivots only.  Let far be a member's distance to a pivot of
+    its own hue, and near the least distance to it of all members of other hues or none: when
+    near - far is beyond the distance of a link, the member has no link but within its hue.
+    """
+    count = large.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_salts"))
+    placed = materialize(large.join(count, "component").join(prefixes.select(
+        F.col("doc_id").alias("node"), "central", "often"), "node"), "near-large")
+    best = Window.partitionBy("component").orderBy(F.desc("central"), F.desc("often"), "node")
+    pivots = placed.withColumn("pivot", F.row_number().over(best)).filter(F.col("pivot") <= PIVOTS)
+    spread = placed.select("node", "component", F.lit(0).alias("pivot"), F.pmod(
+        F.xxhash64("node"), F.col("_salts")).cast("int").alias("salt")).unionByName(pivots.select(
+            "node", "component", "pivot", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt")))
+    keys = ["component", "salt"]
+    rows = _texts(docs, placed).join(spread, F.col("doc_id") == F.col("node")).select(
+        *keys, F.expr("pivot = 0").alias("member"), "pivot", "doc_id", "text")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "member", "pivot", "doc_id", "text")
+    reach = (100 - similar) / 100 + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets, hues, last = None, [], [], None, None
+        for batch in chunks(batches, "text"):
+            frame = batch.drop_columns(["text"]).to_pydict()
+            out = []
+            for i, s in enumerate(shingle_sets(batch.column(5), words)):
+                key, node = (frame["component"][i], frame["salt"][i]), frame["doc_id"][i]
+                if key != group:
+                    group, ids, sets, hues, last = key, [], [], None, None
+                if not frame["member"][i]:
+                    if not ids or ids[-1] != node:
+                        ids.append(node)
+                        sets.append(s)
+                    continue
+                if node == last:
+                    continue  # rows that share an id are one document
+                last = node
+                hues = meet_pivots(sets, similar) if hues is None else hues
+                far = _distances(sets, s)
+                n = len(s)
+                links = [j for j, d in enumerate(far) if d <= reach and ids[j] != node and linked(
+                    len(np.intersect1d(sets[j], s, assume_unique=True)), len(sets[j]), n, similar)]
+                place = ids.index(node) if node in ids else None
+                hue = hues[place] if place is not None else hues[links[0]] if links else None
+                out.append((node, key[0], place is not None, hue, [ids[j] for j in links], hues, far.tolist()))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()),
+             pa.list_(pa.float64())]
+    names = ["node", "component", "chosen", "hue", "links", "hues", "far"]
+    met = materialize(rows.mapInArrow(run, "node long, component long, chosen boolean, hue int, links array<long>, "
+                                           "hues array<int>, far array<double>"), "near-pivots")
+    near = met.groupBy("component").agg(*[
+        F.min(F.when(~F.col("hue").eqNullSafe(F.get("hues", F.lit(j))), F.get("far", F.lit(j)))).alias(f"_near{j}")
+        for j in range(PIVOTS)])
+    apart = F.lit(False)
+    for j in range(PIVOTS):
+        alone = F.col(f"_near{j}").isNull() | (F.col(f"_near{j}") - F.get("far", F.lit(j)) > reach)
+        apart = apart | F.coalesce((F.get("hues", F.lit(j)) == F.col("hue")) & alone, F.lit(False))
+    left = met.join(near, "component").filter(~F.col("chosen") & ~apart).select("node", "component")
+    links = met.select(F.explode("links").alias("a"), F.col("node").alias("b"))
+    return links, materialize(left, "near-left")
+
+
+def _split(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters that fit one block, and larger ones."""
+    sizes = clusters.groupBy("component").agg((F.count(F.lit(1)) > BLOCK).alias("_large"))
+    marked = materialize(clusters.join(sizes, "component"), "near-clusters")
+    return marked.filter("not _large").drop("_large"), marked.filter("_large").drop("_large")
+
+
+def _narrowed(docs: DataFrame, large: DataFrame, words: int, similar: int) -> list[DataFrame]:
+    """Links of large clusters: by a new order over all their tokens, by pivots, and by blocks what is left."""
+    base = materialize(_sketch(_texts(docs, large), words, similar, pool=100 / max(100 - similar, 1)), "near-sketch")
+    prefixes = _ordered(base, similar)
+    small, large = _split(connected_components(_candidates(prefixes, similar)))
+    found, before = [], large.count()
+    while before:
+        links, left = _pivot_round(docs, prefixes, large, words, similar)
+        found.append(links)
+        fits, large = _split(left)
+        small, after = small.unionByName(fits), large.count()
+        if after > (1 - WORTH) * before:
+            small = small.unionByName(large)
+            break
+        before = after
+    return [*found, _verify(docs, prefixes, small, words, similar)]
+
+
 def _verify(docs: DataFrame, prefixes: DataFrame, clusters: DataFrame, words: int, similar: int) -> DataFrame:
     """Links (a, b): per cluster, or per pair of blocks of a large cluster, a spanning forest."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     placed = materialize(clusters.join(sizes, "component").join(
         prefixes.select(F.col("doc_id").alias("node"), "matches", "tokens", "levels"), "node"), "near-placed")
-    wanted = placed.select("node")
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted
-    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")  # from here on only candidates move
+    texts = _texts(docs, placed)
     placed = placed.withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_with")).select(
         "node", "component", "matches", "tokens", "levels", "_mine",
@@ -276,15 +418,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, doc_id:
     classes = base.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"))
     members = materialize(base.select("doc_id", "n", "sign").join(classes, "sign", "left"), "near-members")
     copies = members.filter("n > 0 and not doc_id <=> rep").select("doc_id", "sign").distinct()
-    frequent = base.select(F.explode("pool").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")).filter("df > 1")
-    emitted = base.filter("doc_id is not null").join(materialize(copies, "near-copies"), ["doc_id", "sign"], "left_anti").select(
-        "doc_id", "n", "counted", F.posexplode("pool").alias("pos", "token"))
-    shared = emitted.join(frequent, "token").groupBy("doc_id", "n", "counted").agg(
-        F.collect_set(F.struct("pos", "df", "token")).alias("tokens"))
-    prefixes = materialize(_prefixes(shared, similar), "near-prefixes")
-    clusters = connected_components(_candidates(prefixes, similar))
-    links = materialize(_verify(docs, prefixes, clusters, words, similar), "near-links")
+    prefixes = _ordered(base, similar, materialize(copies, "near-copies"))
+    small, large = _split(connected_components(_candidates(prefixes, similar)))
+    links = _verify(docs, prefixes, small, words, similar)
+    if not large.isEmpty():
+        for more in _narrowed(docs, large, words, similar):
+            links = links.unionByName(more)
+    links = materialize(links, "near-links")
     parts = connected_components(links).withColumnRenamed("node", "rep")
     return members.join(parts, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -297,5 +437,5 @@ def keep_one(docs: DataFrame, words: int = 5, similar: int = 80) -> DataFrame:
     Documents without shingles all stay, and so do rows with a null id.
     """
     groups = near_duplicates(docs, words, similar)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "near-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)

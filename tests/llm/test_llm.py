@@ -37,7 +37,7 @@ EDGE = [(1, None, "a"), (2, "", "a"), (3, "x", None), (3, "x", None), (None, "x"
 @pytest.fixture(scope="module")
 def edge(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns with clashing names."""
-    return docs_of(spark, EDGE).withColumns({c: F.lit(1) for c in ("size", "digest", "_row", "n", "ids", "key", "score")})
+    return docs_of(spark, EDGE).withColumns({c: F.lit(1) for c in ("size", "digest", "_row", "_gone", "n", "ids", "key", "score")})
 
 
 @pytest.fixture(scope="module")
@@ -292,6 +292,39 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 3, 80)
 
 
+def group_of_copies(n, seed):
+    """A text, many copies of it with one or two words changed, texts that share a passage, and small groups."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base, passage, rows = [word() for _ in range(70)], [word() for _ in range(30)], []
+    for i in range(n):
+        kind = rng.random()
+        text = list(base) if kind < 0.6 else passage + [word() for _ in range(rng.randint(3, 30))]
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 5)) if kind < 0.6 else 0):
+            text[rng.randrange(len(text))] = word()
+        rows.append((i, " ".join(text), "a"))
+        if kind > 0.9:
+            rows.append((n + i, " ".join(text) + " end", "b"))
+    return rows
+
+
+@pytest.mark.parametrize(("words", "similar", "worth"), [(3, 90, 0.25), (5, 80, 0.25), (3, 90, 0.0), (5, 80, 1.1)])
+def test_pivots_lose_no_link(spark, monkeypatch, words, similar, worth):
+    monkeypatch.setattr(prefix_join, "BLOCK", 12)
+    monkeypatch.setattr(prefix_join, "SHORT_LIST", 3)
+    monkeypatch.setattr(prefix_join, "PIVOTS", 3)
+    monkeypatch.setattr(prefix_join, "WORTH", worth)
+    rows = group_of_copies(220, words)
+    out = prefix_join.near_duplicates(docs_of(spark, rows), words, similar).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, words, similar)
+
+
+def test_pivots_that_link_share_a_hue():
+    at = [np.arange(0, 100, dtype=np.uint64), np.arange(300, 400, dtype=np.uint64),
+          np.arange(5, 105, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)]
+    assert prefix_join.meet_pivots(at, 90) == [0, 1, 0, 0]  # the last by way of the third
+
+
 def test_join_edge_cases(edge, none):
     out = {(r.doc_id, r.n_shingles, r.component_id) for r in prefix_join.near_duplicates(edge, 3, 90).collect()}
     assert out == {(1, 0, 1), (2, 0, 2), (3, 1, 3), (None, 1, 3), (4, 1, 4), (5, 1, 5), (6, 1, 5), (7, 0, 7)}
