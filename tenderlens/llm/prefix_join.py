@@ -131,7 +131,7 @@ def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
     """doc_id, n, matches, the (token, level) of its adaptive prefix, and how much it has in common.
 
     ``shared`` has doc_id, n, counted and the tokens that other documents emitted too, as
-    (place in hash order, frequency, token).  ``level`` is the least extension that holds a token.
+    (place in hash order behind the counted ones, 0 for these; frequency; token).  ``level`` is the least extension that holds a token.
     ``central`` is the share of the counted tokens that others have too, ``often`` their mean frequency.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,13 +141,13 @@ def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
                 place = np.array([t["pos"] for t in tokens], np.int64)
                 often = np.array([t["df"] for t in tokens], np.int64)
                 token = np.array([t["token"] for t in tokens], np.int64)
-                first = place < counted
+                first = place == 0
                 # Counted tokens: singles first, then by frequency; the others follow in hash order.
-                order = np.lexsort((place, np.where(first, often, 0), ~first))
+                order = np.lexsort((token.view(np.uint64), np.where(first, often, 0), ~first))
                 place, often, token, first = place[order], often[order], token[order], first[order]
                 k = int(first.sum())
                 central, mean = (k / counted, float(often[:k].mean())) if k else (0.0, 0.0)
-                place = np.where(first, counted - k + np.arange(len(place)), place)
+                place = np.where(first, counted - k + np.arange(len(place)), counted - 1 + place)
                 level = np.maximum(place - _base_prefix(n, similar) + 2, 1)
                 matches = choose_matches(often, level, most_matches(n, similar))
                 keep = level <= matches
@@ -164,9 +164,14 @@ def _ordered(base: DataFrame, similar: int, without: DataFrame | None = None) ->
     frequent = base.select(F.explode("pool").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = base if without is None else base.join(without, ["doc_id", "sign"], "left_anti")
-    emitted = own.filter("doc_id is not null").select("doc_id", "n", "counted", F.posexplode("pool").alias("pos", "token"))
-    shared = emitted.join(frequent, "token").groupBy("doc_id", "n", "counted").agg(
-        F.collect_set(F.struct("pos", "df", "token")).alias("tokens"))
+    # Every token crosses the network with its document's id and its place behind the counted ones, nearly always 0.
+    own = own.filter("doc_id is not null")
+    emitted = own.select("doc_id", "counted", F.posexplode("pool").alias("pos", "token")).select(
+        "doc_id", "token", F.greatest(F.col("pos") + 1 - F.col("counted"), F.lit(0)).cast("int").alias("pos"))
+    shared = emitted.join(frequent, "token").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "df", "token")).alias("tokens"))
+    # Texts that share an id: the smaller numbers only make its prefix longer.
+    sizes = own.groupBy("doc_id").agg(F.min("n").alias("n"), F.min("counted").alias("counted"))
+    shared = shared.join(sizes, "doc_id")
     return materialize(_prefixes(shared, similar), "near-prefixes")
 
 
