@@ -330,6 +330,25 @@ def vector_cells_topk(spark, sf):
     return rounded(vec.search_cells(spark, path, b.query_vectors(spark, sf), 20, probes=2))
 
 
+@registered
+def vector_index_complete(spark, sf):
+    """An index built on the even vectors, the odd ones appended twice; queries go on to further cells until these hold 50."""
+    held, path = b.vectors(spark, sf), shared_path(spark, "cells")
+    vec.store_cells(held.filter("uid % 2 = 0"), path, centres=held.filter("uid < 10"))
+    for _ in range(2):
+        vec.append_cells(held, path)
+    return rounded(vec.search_cells(spark, path, b.query_vectors(spark, sf), 50, probes=1, complete=True))
+
+
+@registered
+def vector_index_recall(spark, sf):
+    """Overlap with the exact top-20 of an index that is trained, then probed as often as a sample asks for."""
+    held, asked, path = b.vectors(spark, sf), b.query_vectors(spark, sf), shared_path(spark, "cells")
+    vec.store_cells(held, path, nlist=10)
+    probes = vec.calibrate_probes(spark, path, asked, 20)
+    return vec.topk_overlap(vec.vector_topk(held, asked, 20), vec.search_cells(spark, path, asked, 20, probes, complete=True))
+
+
 @registered
 def topk_overlap(spark, sf):
     """Exact top-20 of the whole vectors against the top-20 of their first half."""

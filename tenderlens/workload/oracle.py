@@ -355,15 +355,23 @@ select("bm25_search", "SELECT query_id, uid, round(bm25_score, 6) AS bm25_score,
 _ALL_PAIRS = ("vpairs AS (SELECT a.vec_id AS query_id, c.vec_id AS uid, a.embedding AS qvec, c.embedding AS vec "
               "FROM embeddings a, embeddings c)")
 select("vector_topk", "SELECT query_id, uid, round(score, 6) AS score, rank FROM near", _ALL_PAIRS, near("vpairs", 20))
-select("vector_cells_topk", "SELECT query_id, uid, round(score, 6) AS score, rank FROM near",
-       "centres AS (SELECT vec_id AS cell, embedding AS c FROM embeddings WHERE vec_id < 10)",
-       """celled AS MATERIALIZED (SELECT vec_id AS uid, any_value(embedding) AS vec,
+_CELLS = ["centres AS (SELECT vec_id AS cell, embedding AS c FROM embeddings WHERE vec_id < 10)",
+          """celled AS MATERIALIZED (SELECT vec_id AS uid, any_value(embedding) AS vec,
   arg_min(cell, list_distance(CAST(embedding AS DOUBLE[]), CAST(c AS DOUBLE[]))) AS cell
   FROM embeddings, centres GROUP BY vec_id)""",
-       "cpairs AS (SELECT vec_id AS query_id, cell AS uid, embedding AS qvec, c AS vec FROM embeddings, centres)",
-       near("cpairs", 2, "probes"),
+          "cpairs AS (SELECT vec_id AS query_id, cell AS uid, embedding AS qvec, c AS vec FROM embeddings, centres)"]
+select("vector_cells_topk", "SELECT query_id, uid, round(score, 6) AS score, rank FROM near",
+       *_CELLS, near("cpairs", 2, "probes"),
        """ppairs AS (SELECT p.query_id, x.uid, e.embedding AS qvec, x.vec FROM probes p
   JOIN celled x ON x.cell = p.uid JOIN embeddings e ON e.vec_id = p.query_id)""", near("ppairs", 20))
+select("vector_index_complete", "SELECT query_id, uid, round(score, 6) AS score, rank FROM near",
+       *_CELLS, near("cpairs", 10, "ordered"),
+       """probes AS (SELECT *, coalesce(sum(held) OVER (PARTITION BY query_id ORDER BY rank
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held_before
+  FROM ordered JOIN (SELECT cell AS uid, count(*) AS held FROM celled GROUP BY 1) USING (uid))""",
+       """ppairs AS (SELECT p.query_id, x.uid, e.embedding AS qvec, x.vec FROM probes p
+  JOIN celled x ON x.cell = p.uid JOIN embeddings e ON e.vec_id = p.query_id
+  WHERE p.rank = 1 OR p.held_before < 50)""", near("ppairs", 50))
 select("topk_overlap", """SELECT n.query_id, count(*) AS n_exact, count(h.uid) AS n_common,
   round(count(h.uid) / count(*), 6) AS overlap
 FROM near n LEFT JOIN half h ON n.query_id = h.query_id AND n.uid = h.uid GROUP BY 1""",

@@ -10,7 +10,8 @@ from tenderlens.operators.bm25 import bm25_rank
 from tenderlens.operators.fusion import fuse_configs, reciprocal_rank_fusion
 from tenderlens.operators.query_log import parse_queries
 from tenderlens.operators.strict_filters import apply_strict_filters, with_filter_id
-from tenderlens.operators.vectors import search_cells, store_cells, vector_ann_topk, vector_topk
+from tenderlens.operators.vectors import (append_cells, calibrate_probes, search_cells, store_cells, topk_overlap,
+                                          vector_ann_topk, vector_topk)
 from tenderlens.plans import evaluation as ev
 from tenderlens.plans import search
 
@@ -160,6 +161,33 @@ def test_stored_cells_are_searched_by_folder(spark, tmp_path):
         assert set(got[got.query_id == i].uid) == set(np.flatnonzero(np.isin(near, probed)).tolist())
 
 
+def test_an_index_is_appended_completed_and_calibrated(spark, tmp_path):
+    x, df = unit_vectors(spark, 400, d=4)
+    asked = df.filter("uid % 8 = 0").select(F.col("uid").alias("query_id"), F.col("vec").alias("qvec"))
+    path = str(tmp_path / "index")
+    store_cells(df.filter("uid < 150"), path, centres=df.filter("uid % 20 = 0"))
+    for _ in range(2):  # the second time nothing is new
+        append_cells(df, path)
+    stored = spark.read.parquet(f"{path}/cells")
+    near = ((x[:, None, :] - x[None, ::20, :]) ** 2).sum(2).argmin(1) * 20
+    assert sorted((r["uid"], r["cell"]) for r in stored.collect()) == list(enumerate(near.tolist()))
+    assert search_cells(spark, path, asked, 60, probes=1).count() < 50 * 60
+    full = search_cells(spark, path, asked, 60, probes=1, complete=True)
+    assert full.groupBy("query_id").count().filter("count = 60").count() == 50
+    assert search_cells(spark, path, asked, 500, probes=1, complete=True).count() == 50 * 400  # all there are
+    exact = vector_topk(df, asked, 10)
+
+    def recall(probes):
+        found = search_cells(spark, path, asked, 10, probes, complete=True)
+        return topk_overlap(exact, found).agg(F.avg("overlap")).first()[0]
+
+    probes = calibrate_probes(spark, path, asked, 10, goal=0.95)
+    assert 1 < probes < 20 and recall(probes) >= 0.95
+    assert calibrate_probes(spark, path, asked, 10, goal=1.0) >= probes
+    assert calibrate_probes(spark, path, asked.limit(0), 10) == 1
+    assert search_cells(spark, path, asked.limit(0), 10, 2, complete=True).count() == 0
+
+
 def ranking(spark, uids):
     return spark.createDataFrame([(0, u, i) for i, u in enumerate(uids, 1)], "query_id int, uid string, rank int")
 
