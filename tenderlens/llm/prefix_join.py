@@ -131,15 +131,14 @@ def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
     """doc_id, n, matches, the (token, level) of its adaptive prefix, and how much it has in common.
 
     ``shared`` has doc_id, n, counted and the tokens that other documents emitted too, as
-    (place in hash order behind the counted ones, 0 for these; frequency; token).  ``level`` is the least extension that holds a token.
+    (frequency above 32 bits for the place in hash order behind the counted ones, 0 for these; token).  ``level`` is the least extension that holds a token.
     ``central`` is the share of the counted tokens that others have too, ``often`` their mean frequency.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc_id, n, counted, tokens in zip(frame["doc_id"], frame["n"], frame["counted"], frame["tokens"], strict=True):
-                place = np.array([t["pos"] for t in tokens], np.int64)
-                often = np.array([t["df"] for t in tokens], np.int64)
+                often, place = np.divmod(np.array([t["df_pos"] for t in tokens], np.int64), 1 << 32)
                 token = np.array([t["token"] for t in tokens], np.int64)
                 first = place == 0
                 # Counted tokens: singles first, then by frequency; the others follow in hash order.
@@ -152,10 +151,10 @@ def _prefixes(shared: DataFrame, similar: int) -> DataFrame:
                 matches = choose_matches(often, level, most_matches(n, similar))
                 keep = level <= matches
                 if keep.any():
-                    out.append((doc_id, n, matches, token[keep], level[keep].astype(np.int32), central, mean))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "matches", "tokens", "levels", "central", "often"])
+                    out.append((doc_id, n, matches, token[keep], level[keep].astype(np.int32), often[keep], central, mean))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "matches", "tokens", "levels", "dfs", "central", "often"])
 
-    return shared.mapInPandas(run, "doc_id long, n long, matches int, tokens array<long>, levels array<int>, "
+    return shared.mapInPandas(run, "doc_id long, n long, matches int, tokens array<long>, levels array<int>, dfs array<long>, "
                                    "central double, often double")
 
 
@@ -168,7 +167,8 @@ def _ordered(base: DataFrame, similar: int, without: DataFrame | None = None) ->
     own = own.filter("doc_id is not null")
     emitted = own.select("doc_id", "counted", F.posexplode("pool").alias("pos", "token")).select(
         "doc_id", "token", F.greatest(F.col("pos") + 1 - F.col("counted"), F.lit(0)).cast("int").alias("pos"))
-    shared = emitted.join(frequent, "token").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "df", "token")).alias("tokens"))
+    shared = emitted.join(frequent, "token").groupBy("doc_id").agg(F.collect_set(F.struct(
+        (F.shiftleft(F.least("df", F.lit((1 << 31) - 1)), 32) + F.col("pos")).alias("df_pos"), "token")).alias("tokens"))
     # Texts that share an id: the smaller numbers only make its prefix longer.
     sizes = own.groupBy("doc_id").agg(F.min("n").alias("n"), F.min("counted").alias("counted"))
     shared = shared.join(sizes, "doc_id")
@@ -177,20 +177,27 @@ def _ordered(base: DataFrame, similar: int, without: DataFrame | None = None) ->
 
 def _candidates(prefixes: DataFrame, similar: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair that shares enough prefix tokens."""
-    postings = prefixes.select("doc_id", "n", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("_t")).select(
-        F.col("_t.tokens").alias("token"), "doc_id", "n", "matches", F.col("_t.levels").alias("level"))
+    postings = prefixes.select("doc_id", "n", "matches", F.explode(F.arrays_zip("tokens", "levels", "dfs")).alias("_t")).select(
+        F.col("_t.tokens").alias("token"), "doc_id", "n", "matches", F.col("_t.levels").alias("level"), F.col("_t.dfs").alias("df"))
     postings = materialize(postings, "near-postings")
-    sizes = materialize(postings.groupBy("token").agg(
+    # A list is never longer than its token's frequency, so only lists of frequent tokens are counted.
+    often = postings.filter(F.col("df") > SHORT_LIST)
+    sizes = materialize(often.groupBy("token").agg(
         F.count(F.lit(1)).alias("_m"), F.min("doc_id").alias("_hub")).filter("_m > 1"), "near-lists")
-    short = postings.join(sizes.filter(F.col("_m") <= SHORT_LIST).select("token"), "token")
-    other = short.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "matches", "level")])
-    need = F.least("matches", "matches_b")
-    pairs = short.join(other, "token").filter(
-        (F.col("doc_id") < F.col("doc_id_b")) & (F.col("n") * 100 >= F.col("n_b") * similar)
-        & (F.col("n_b") * 100 >= F.col("n") * similar) & (F.greatest("level", "level_b") <= need))
-    pairs = pairs.groupBy("doc_id", "doc_id_b").agg(F.count(F.lit(1)).alias("_common"), F.first(need).alias("_need"))
-    pairs = pairs.filter("_common >= _need").select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
-    stars = postings.join(sizes.filter(F.col("_m") > SHORT_LIST).select("token", "_hub"), "token").filter(
+    short = postings.filter(F.col("df") <= SHORT_LIST).unionByName(
+        often.join(sizes.filter(F.col("_m") <= SHORT_LIST).select("token"), "token", "left_semi"))
+    # At most SHORT_LIST entries each, by ascending id.
+    lists_ = short.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "matches", "level"))).alias("_list"))
+    both = F.flatten(F.transform("_list", lambda x, i: F.transform(
+        F.slice("_list", i + 2, F.size("_list")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = lists_.filter(F.size("_list") > 1).select(F.explode(both).alias("_p")).select(
+        F.col("_p.x.doc_id").alias("a"), F.col("_p.y.doc_id").alias("b"), F.col("_p.x.n").alias("_n"), F.col("_p.y.n").alias("_n_b"),
+        F.greatest("_p.x.level", "_p.y.level").alias("_level"), F.least("_p.x.matches", "_p.y.matches").alias("_need"))
+    pairs = pairs.filter((F.col("_n") * 100 >= F.col("_n_b") * similar) & (F.col("_n_b") * 100 >= F.col("_n") * similar)
+                         & (F.col("_level") <= F.col("_need")))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_common"), F.first("_need").alias("_need"))
+    pairs = pairs.filter("_common >= _need").select("a", "b")
+    stars = often.join(sizes.filter(F.col("_m") > SHORT_LIST).select("token", "_hub"), "token").filter(
         "doc_id <> _hub").select(F.col("_hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     return materialize(pairs.unionByName(stars), "near-candidates")
 
