@@ -7,7 +7,8 @@ prefix reads more postings but sends fewer candidates to verification.  A pair m
 min(l) tokens within the shorter of the two extensions; no ``l`` exceeds ceil(t*n), the least
 overlap that a link of its set can have.
 
-The order is rare first.  Tokens are hashes; document frequencies are counted over the tokens
+The order is rare first.  Tokens are hashes, cut to 48 bits where they are counted and matched, which
+can only add candidates (links are compared on whole hashes); document frequencies are counted over the tokens
 whose hash lies below a fixed part of the hash space (the pool, a little wider than a prefix),
 which are the only ones a prefix can need, so most of the shingles are never shuffled.  A pool
 token that occurs once in the corpus cannot match and is dropped after counting.
@@ -42,6 +43,7 @@ from tenderlens.llm.common import LOWER, SPACE, SpanHash, chunks, lists, mix, sp
 from tenderlens.llm.components import connected_components
 from tenderlens.runtime import materialize
 
+CUT = np.uint64(16)  # low bits of a hash that do not travel
 POOL = 1.5  # width of the counted part of the hash space, in prefixes
 MOST_MATCHES = 8  # longest extension
 VERIFY_COST = 8.0  # cost of one verification against one posting read
@@ -95,19 +97,21 @@ def most_matches(n: int, similar: int) -> int:
 def _sketch(docs: DataFrame, words: int, similar: int, pool: float = POOL) -> DataFrame:
     """doc_id, n, signature of the whole set, pool tokens in hash order, how many of them are counted.
 
-    The pool is ``pool`` times as wide as a prefix, and all tokens at most.
+    The pool is ``pool`` times as wide as a prefix, and all tokens at most.  Two shingles of a set
+    that share their token count once; prefixes go by n, so that makes them longer, never too short.
     """
-    edge = int(min(pool * (100 - similar) / 100, 1.0) * (1 << 64)) - 1
+    edge = np.uint64(int(min(pool * (100 - similar) / 100, 1.0) * (1 << 64)) - 1) >> CUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             n, sign, pools, counted = [], [], [], []
             for s in shingle_sets(batch.column(1), words):
-                inside = int(np.searchsorted(s, np.uint64(edge), "right"))
+                tokens = np.unique(s >> CUT)
+                inside = int(np.searchsorted(tokens, edge, "right"))
                 longest = _base_prefix(len(s), similar) + MOST_MATCHES - 1
                 n.append(len(s))
                 counted.append(inside)
-                pools.append(s[:max(inside, min(longest, len(s)))])
+                pools.append(tokens[:max(inside, longest)])
                 sign.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             flat = np.concatenate(pools).view(np.int64) if pools else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
