@@ -1,10 +1,14 @@
 """Exact k-nearest-neighbour self join without comparing all pairs.
 
 1. Equal points collapse into one weighted point, so copies cannot pile up.
-2. A k-d split learned from a bounded sample gives cells of similar size.
+2. A k-d split learned from a bounded sample gives regions of similar size.  A region that
+   holds too many points for one group is split again from a sample of its own, on the
+   executors, and so are its parts, until every cell fits.
 3. Inside its own cell every point finds k neighbours: an upper bound radius.
-4. The point then asks only those other cells whose box its ball touches, and the
-   candidates of all cells merge into the exact k nearest.
+4. The point then asks only those other cells whose box its ball touches.  Boxes form a tree:
+   the regions' are sent to all tasks, those of a region's cells stay in a table, and requests
+   to a split region travel to it first.  The candidates of all cells merge into the exact k
+   nearest.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 from tenderlens.runtime import materialize
 
 CELL_POINTS = 1024      # points a cell should hold
-MAX_CELLS = 32_768      # bounds the box table sent to the tasks (a few MB)
-SAMPLE_ROWS = 262_144   # bounds the sample that shapes the split
+REGIONS = 32_768        # first level: bounds the box table sent to the tasks (a few MB)
+OVERFULL = 4            # a cell of more than so many times CELL_POINTS is split again
+FAN = 1024              # parts that a cell is split into at most
+SAMPLE_ROWS = 262_144   # bounds the sample that shapes the first level
+CELL_SAMPLE = 32_768    # bounds, in the mean, the sample that shapes one further split
 REQUEST_ROWS = 8192     # requests answered by one group
 _CHUNK = 512
 
@@ -84,6 +91,69 @@ def _assign(points: np.ndarray, tree: np.ndarray) -> np.ndarray:
         at[live] = children[node, right.astype("int64")]
 
 
+def _refine(placed: DataFrame, names: list[str], cell_points: int) -> DataFrame:
+    """``placed`` with every (region, cell) of more than OVERFULL * cell_points points split.
+
+    A cell's parts are numbered in base FAN + 1 behind its own number, so numbers of all levels
+    differ within a region.  Points of one cell are dealt to their parts by many tasks; only the
+    sample that shapes a split meets in one.
+    """
+    keys, slots = ["region", "cell"], 1 << 31
+    schema, columns = placed.schema, placed.columns
+    before = None
+    while True:
+        full = materialize(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(
+            F.col("n") > OVERFULL * cell_points).withColumn(
+            "salts", F.ceil(F.col("n") / REQUEST_ROWS).cast("int")), "full_cells")
+        held = tuple(full.agg(F.count(F.lit(1)), F.sum("n")).first())
+        if not held[0] or held == before:  # all fit, or what is left holds points that no cut tells apart
+            return placed
+        before = held
+        inner = placed.join(full, keys)
+        drawn = F.pmod(F.xxhash64("pid", "cell"), F.lit(slots)) < F.ceil(
+            F.least(F.lit(1.0), CELL_SAMPLE / F.col("n")) * slots)
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = min(FAN, -(-int(pdf["n"].iloc[0]) // cell_points))
+            tree = np.array(_split(pdf[names].to_numpy("float64"), parts, 0), dtype="float64")
+            return pd.DataFrame({"region": pdf["region"].iloc[:1], "cell": pdf["cell"].iloc[:1], "tree": [tree.tobytes()]})
+
+        trees = materialize(inner.filter(drawn).select(*keys, "n", *names).groupBy(*keys).applyInPandas(
+            fit, "region int, cell long, tree binary"), "cell_trees")
+
+        def deal(pdf: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            if tree.empty or pdf.empty:
+                return pdf[columns]
+            part = _assign(pdf[names].to_numpy("float64"), np.frombuffer(tree["tree"].iloc[0]).reshape(-1, 4))
+            return pdf[columns].assign(cell=pdf["cell"] * (FAN + 1) + part + 1)
+
+        salted = [*keys, "salt"]
+        split = inner.withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("salts")).cast("int")).drop("n", "salts")
+        split = split.groupBy(*salted).cogroup(trees.join(full, keys).select(
+            *keys, "tree", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).groupBy(
+            *salted)).applyInPandas(deal, schema)
+        placed = materialize(placed.join(full, keys, "left_anti").select(*columns).unionByName(split), "cells")
+
+
+def _touched(xs: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(point row, box row) of every box that a point's ball touches."""
+    rows, boxes = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    # Boxes that a run of similar balls could touch, then per point among those.
+    order = np.argsort(radius, kind="stable")
+    for part in np.array_split(order, max(1, len(order) // 128)):
+        if not len(part):
+            continue
+        reach = radius[part].max() * (1 + 1e-12)
+        near_low, near_high = xs[part].min(axis=0) - reach, xs[part].max(axis=0) + reach
+        maybe = np.flatnonzero((low <= near_high).all(axis=1) & (high >= near_low).all(axis=1))
+        gap = np.maximum(low[maybe][None] - xs[part][:, None], 0.0)
+        gap = np.maximum(gap, xs[part][:, None] - high[maybe][None])
+        i, c = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= radius[part][:, None] * (1 + 1e-12))
+        rows.append(part[i])
+        boxes.append(maybe[c])
+    return np.concatenate(rows), np.concatenate(boxes)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for dim in range(a.shape[1]):
@@ -134,12 +204,13 @@ def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, ids:
 
 
 def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (),
-             cell_points: int = CELL_POINTS) -> DataFrame:
+             cell_points: int = CELL_POINTS, regions: int = REGIONS) -> DataFrame:
     """Exact k nearest other rows of every distinct point.
 
     ``points`` comes from ``collapse_points``.  The result has one row per (pid,
     nid): distance ``d`` and ``used``, the copies of nid among the k neighbours.
-    Equal distances are ordered by the lowest uid.  k is clamped to n - 1.
+    Equal distances are ordered by the lowest uid.  k is clamped to n - 1.  ``regions`` bounds
+    what every task is sent, not the number of cells.
     """
     by, names = list(by), list(columns)
     if len(by) > 1:
@@ -161,7 +232,7 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
         mask = np.ones(len(sample), bool)
         for name, value in zip(by, key, strict=True):
             mask &= (sample[name] == value).to_numpy()
-        cells = int(min(MAX_CELLS * n / n_all + 1, -(-n // cell_points)))
+        cells = int(min(regions * n / n_all + 1, -(-n // cell_points)))
         tree = np.array(_split(sample.loc[mask, names].to_numpy("float64").reshape(-1, dim),
                                max(cells, 1), first), dtype="float64")
         first = int(tree[tree[:, 0] < 0, 2].max()) + 1
@@ -181,20 +252,24 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
 
     key_struct = F.struct(*by) if by else F.struct(F.lit(0).alias("none"))
     placed = materialize(points.select(
-        *by, *names, "pid", "w", cell_of(key_struct, F.struct(*names)).alias("cell")), "cells")
+        *by, *names, "pid", "w", cell_of(key_struct, F.struct(*names)).alias("region"),
+        F.lit(0).cast("long").alias("cell")), "cells")
 
-    boxes = placed.groupBy(*by, "cell").agg(*[
-        a for c in names for a in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).toPandas()
+    edges = [a for c in names for a in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
+    lows, highs = [f"lo_{c}" for c in names], [f"hi_{c}" for c in names]
+    boxes = placed.groupBy(*by, "region").agg(F.count(F.lit(1)).alias("n"), *edges).toPandas()
+    boxes["split"] = boxes["n"] > OVERFULL * cell_points
     layout = {}
     for key in sizes:
         mask = np.ones(len(boxes), bool)
         for name, value in zip(by, key, strict=True):
             mask &= (boxes[name] == value).to_numpy()
         part = boxes[mask]
-        layout[key] = (part["cell"].to_numpy("int32"),
-                       part[[f"lo_{c}" for c in names]].to_numpy("float64"),
-                       part[[f"hi_{c}" for c in names]].to_numpy("float64"), clamp[key])
+        layout[key] = (part["region"].to_numpy("int32"), part["split"].to_numpy(bool),
+                       part[lows].to_numpy("float64"), part[highs].to_numpy("float64"), clamp[key])
     shared = spark.sparkContext.broadcast(layout)
+    if boxes["split"].any():
+        placed = _refine(placed, names, cell_points)
 
     pid_type = types["pid"]
     by_ddl = "".join(f"{c} {types[c]}, " for c in by)
@@ -205,48 +280,67 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
                      for c in by)
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Neighbours within the cell, then the (point, other cell) requests."""
-        cells, low, high, k_here = shared.value[key_of(pdf)]
+        """Neighbours within the cell, then the (point, region) requests."""
+        regions_, split, low, high, k_here = shared.value[key_of(pdf)]
         xs, ids = pdf[names].to_numpy("float64"), pdf["pid"].to_numpy()
         if k_here == 0:
-            return pd.DataFrame(columns=[*by, *names, "pid", "radius", "cell", "nid", "d", "w"])
+            return pd.DataFrame(columns=[*by, *names, "pid", "radius", "region", "cell", "nid", "d", "w"])
         row, col, d, w, radius = _nearest(
             xs, xs, pdf["w"].to_numpy(), ids, k_here, same=np.arange(len(xs)))
-        others = cells != int(pdf["cell"].iloc[0])
-        ask_row, ask_cell = [], []
-        # Boxes that a run of similar balls could touch, then per point among those.
-        order = np.argsort(radius, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 128)):
-            reach = radius[part].max()
-            near_low, near_high = xs[part].min(axis=0) - reach, xs[part].max(axis=0) + reach
-            maybe = np.flatnonzero(others & (low <= near_high).all(axis=1) & (high >= near_low).all(axis=1))
-            gap = np.maximum(low[maybe][None] - xs[part][:, None], 0.0)
-            gap = np.maximum(gap, xs[part][:, None] - high[maybe][None])
-            i, c = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= radius[part][:, None] * (1 + 1e-12))
-            ask_row.append(part[i])
-            ask_cell.append(cells[maybe[c]])
-        asks = np.concatenate(ask_row)
-        rows = np.concatenate([row, asks])
+        # A split region has more cells than one's own, which ``cell`` names.
+        others = np.flatnonzero((regions_ != int(pdf["region"].iloc[0])) | split)
+        asks, box = _touched(xs, radius, low[others], high[others])
+        rows, asked = np.concatenate([row, asks]), regions_[others[box]]
+        own = np.where(asked == int(pdf["region"].iloc[0]), int(pdf["cell"].iloc[0]), 0)
         return pd.DataFrame({
             **{c: pdf[c].to_numpy()[rows] for c in by}, **{c: pdf[c].to_numpy()[rows] for c in names},
             "pid": ids[rows], "radius": radius[rows],
-            "cell": np.concatenate([np.full(len(row), -1), *ask_cell]).astype("int32"),
+            "region": np.concatenate([np.full(len(row), -1), asked]).astype("int32"),
+            "cell": np.concatenate([np.zeros(len(row), dtype="int64"), own]),
             "nid": np.concatenate([ids[col], ids[asks]]),
             "d": np.concatenate([d, np.zeros(len(asks))]),
             "w": np.concatenate([w, np.zeros(len(asks), dtype="int64")])})
 
-    # Rows with cell -1 are neighbours, the others ask that cell.
-    local = materialize(placed.groupBy(*by, "cell").applyInPandas(
-        inside, f"{by_ddl}{x_ddl}pid {pid_type}, radius double, cell int, nid {pid_type}, d double, w long"),
+    # Rows with region -1 are neighbours, the others ask that region.
+    local = materialize(placed.groupBy(*by, "region", "cell").applyInPandas(
+        inside, f"{by_ddl}{x_ddl}pid {pid_type}, radius double, region int, cell long, nid {pid_type}, d double, w long"),
         "knn_local")
 
-    requests = local.filter("cell >= 0").select(*by, *names, "pid", "radius", "cell")
-    load = materialize(requests.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / REQUEST_ROWS).cast("int").alias("parts")), "knn_load")
-    asked = requests.join(load, "cell").withColumn(
-        "part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
-    held = placed.join(load, "cell").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def shares(requests: DataFrame, keys: list[str]) -> DataFrame:
+        """In how many groups the requests of a key are answered."""
+        return materialize(requests.groupBy(*keys).agg(
+            F.ceil(F.count(F.lit(1)) / REQUEST_ROWS).cast("int").alias("parts")), "knn_load")
+
+    def dealt(requests: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
+        return requests.join(load, keys).withColumn(
+            "part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
+
+    def copied(rows: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.join(load, keys).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def route(req: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        """Requests to a split region, sent on to its cells but the point's own."""
+        if req.empty or cells.empty:
+            return pd.DataFrame({c: [] for c in [*by, *names, "pid", "radius", "region", "cell"]})
+        row, box = _touched(req[names].to_numpy("float64"), req["radius"].to_numpy(),
+                            cells[lows].to_numpy("float64"), cells[highs].to_numpy("float64"))
+        cell = cells["cell"].to_numpy()[box]
+        sent = req.iloc[row].assign(cell=cell)[cell != req["cell"].to_numpy()[row]]
+        return sent[[*by, *names, "pid", "radius", "region", "cell"]]
+
+    requests = local.filter("region >= 0").select(*by, *names, "pid", "radius", "region", "cell")
+    if boxes["split"].any():
+        fine = materialize(placed.filter("cell > 0").groupBy("region", "cell").agg(*edges), "cell_boxes")
+        inner = requests.join(fine.select("region").distinct(), "region", "left_semi")
+        load = shares(inner, ["region"])
+        sent = dealt(inner, load, ["region"]).drop("parts").groupBy("region", "part").cogroup(
+            copied(fine, load, ["region"]).drop("parts").groupBy("region", "part")).applyInPandas(
+            route, requests.schema)
+        requests = materialize(requests.join(fine.select("region").distinct(), "region", "left_anti").select(
+            *requests.columns).unionByName(sent), "knn_routed")
+    keys = ["region", "cell"]
+    load = shares(requests, keys)
 
     def across(req: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if req.empty or pdf.empty:
@@ -254,15 +348,16 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
         ids = pdf["pid"].to_numpy()
         row, col, d, w, _ = _nearest(
             req[names].to_numpy("float64"), pdf[names].to_numpy("float64"), pdf["w"].to_numpy(), ids,
-            shared.value[key_of(req)][3], radius=req["radius"].to_numpy())
+            shared.value[key_of(req)][4], radius=req["radius"].to_numpy())
         return pd.DataFrame({**{c: req[c].to_numpy()[row] for c in by}, "pid": req["pid"].to_numpy()[row],
                              "nid": ids[col], "d": d, "w": w})
 
-    remote = asked.select(*by, "cell", "part", *names, "pid", "radius").groupBy("cell", "part").cogroup(
-        held.select(*by, "cell", "part", *names, "pid", "w").groupBy("cell", "part")
+    remote = dealt(requests, load, keys).select(*by, *keys, "part", *names, "pid", "radius").groupBy(
+        *keys, "part").cogroup(
+        copied(placed, load, keys).select(*by, *keys, "part", *names, "pid", "w").groupBy(*keys, "part")
     ).applyInPandas(across, f"{by_ddl}pid {pid_type}, nid {pid_type}, d double, w long")
 
-    near = local.filter("cell < 0").select(*by, "pid", "nid", "d", "w").unionByName(remote)
+    near = local.filter("region < 0").select(*by, "pid", "nid", "d", "w").unionByName(remote)
     upto = Window.partitionBy(*by, "pid").orderBy("d", "nid").rowsBetween(Window.unboundedPreceding, 0)
     limit = F.lit(k)
     if len(set(clamp.values())) == 1:

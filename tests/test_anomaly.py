@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlens.functions.numeric import signed_log
+from tenderlens.operators import knn
 from tenderlens.operators.knn import collapse_points, knn_self
 from tenderlens.operators.lof import lof
 from tenderlens.operators.peers import FEATURES, feature_matrix, peer_deviation
@@ -112,6 +113,31 @@ def test_neighbours_per_group_and_clamped_k(spark):
     assert set(small) == {2}
 
 
+@pytest.mark.parametrize("regions", [1, 4])
+def test_regions_are_split_until_cells_fit(spark, monkeypatch, regions):
+    monkeypatch.setattr(knn, "FAN", 5)  # up to three levels below the regions
+    monkeypatch.setattr(knn, "CELL_SAMPLE", 60)
+    monkeypatch.setattr(knn, "REQUEST_ROWS", 64)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.normal(size=(450, 3)), 2), rng.normal(size=(150, 3)) * [1e-3, 30, 1]])
+    x[:150] = x[0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(uid=np.arange(len(x))))
+    points = collapse_points(df, list("abc")).cache()
+    sizes = []
+    refine = knn._refine
+    monkeypatch.setattr(knn, "_refine", lambda *a: sizes.append(refine(*a)) or sizes[-1])
+    got = knn_self(points, list("abc"), 6, cell_points=8, regions=regions).toPandas()
+    cells = sizes[0].groupBy("region", "cell").count().toPandas()
+    assert cells["count"].max() <= knn.OVERFULL * 8 and cells["count"].sum() == points.count()
+    assert cells["region"].nunique() <= regions + 1
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    kth = np.sort(d, axis=1)[:, 5]
+    mine = got.groupby("pid").agg(d=("d", "max"), used=("used", "sum"))
+    assert len(mine) == points.count() and set(mine.used) == {6}
+    assert np.allclose(mine.d, kth[mine.index])
+
+
 def test_planted_outliers(spark):
     df = spark.createDataFrame(contracts())
     for flags, name in ((anomaly.detect_isolation_forest(df, ["ligne"]), "is_anomaly_iforest"),
