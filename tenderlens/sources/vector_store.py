@@ -11,7 +11,8 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tenderlens.runtime import materialize
 from tenderlens.schema import VECTOR_SCHEMA
 
 Encoder = Callable[[list[str]], "list[list[float]]"]
+ENCODE_ROWS = 256  # texts that an encoder is given at once
 _STORED = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("commit", T.StringType())])
 
 
@@ -49,20 +51,24 @@ def missing_uids(uids: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
 
 
 def encode(texts: DataFrame, model: str, encoder: Encoder, text: str = "objet") -> DataFrame:
-    """Run a batch encoder over Arrow batches; vectors come back at unit length."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            vectors = np.asarray(encoder(batch["_text"].tolist()), dtype="float64")
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            vectors = (vectors / np.where(norms == 0, 1.0, norms)).astype("float32")
-            yield pd.DataFrame({"uid": batch["uid"], "model": model, "vec": list(vectors)})
+    """Run a batch encoder over at most ``ENCODE_ROWS`` texts at a time; vectors come back at unit length."""
+    names = VECTOR_SCHEMA.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(low, ENCODE_ROWS)
+                vectors = np.asarray(encoder(batch.column("_text").to_pylist()), dtype="float64")
+                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                vectors = (vectors / np.where(norms == 0, 1.0, norms)).astype("float32")
+                at = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+                columns = {"uid": batch.column("uid"), "model": pa.array([model] * len(vectors), pa.string()),
+                           "vec": pa.ListArray.from_arrays(pa.array(at), pa.array(vectors.ravel()))}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     source = texts.select(F.col("uid").cast("string").alias("uid"),
                           F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return source.mapInPandas(run, VECTOR_SCHEMA)
+    return source.mapInArrow(run, VECTOR_SCHEMA)
 
 
 def upsert_vectors(texts: DataFrame, path: str, model: str, encoder: Encoder,

@@ -97,3 +97,19 @@ def test_stateless_operators_run_on_a_stream(spark, tmp_path):
     query.stop()
     got = spark.sql("select nature, montant_negatif_ou_nul, region, montant_min from cleaned order by uid").collect()
     assert [tuple(r) for r in got] == [("Marché", True, "Bretagne", None), ("x", False, None, 5.0)]
+
+
+def test_an_encoder_is_given_bounded_batches(spark):
+    from tenderlens.sources import vector_store
+
+    most = vector_store.ENCODE_ROWS
+
+    def lengths(texts):
+        if len(texts) > most:
+            raise ValueError(f"{len(texts)} texts at once")
+        return [[float(len(t)), 0.0] for t in texts]
+
+    n = 2 * most + 3
+    texts = spark.range(n).select(F.col("id").alias("uid"), F.when(F.col("id") > 0, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("objet"))
+    rows = vector_store.encode(texts.coalesce(1), "m", lengths).collect()
+    assert sorted((int(r.uid), r.model, r.vec) for r in rows) == [(i, "m", [float(i > 0), 0.0]) for i in range(n)]
