@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents for the models trained here."""
+"""Labelled documents for the models trained here: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -14,6 +14,19 @@ SAMPLE_BYTES = 40 << 20  # bytes of their whole texts, at most
 LARGE = 16  # a text above this part of the bytes is not taken
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int,
+                  extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, label and ``extra`` columns of every labelled document outside the fold ``held_out``.
+
+    Of rows that share an id the smallest text is taken.
+    """
+    known = labels.filter(F.col(label).isNotNull() & (fold("doc_id", parts) != held_out))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).join(known, "doc_id")
+    smallest = F.min(F.struct("text", *extra)).alias("_row")
+    return rows.groupBy("doc_id", "label").agg(smallest).select("doc_id", "_row.text", "label", *[f"_row.{c}" for c in extra])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int,
                     extra: tuple[str, ...] = (), max_docs: int = SAMPLE_DOCS,
                     max_bytes: int = SAMPLE_BYTES) -> pa.Table:

@@ -308,3 +308,25 @@ def test_one_huge_text_does_not_end_the_labelled_sample(spark):
     with pytest.raises(ValueError, match="labelled"):
         labelled_sample(docs, odd, "quality", 3, 1, max_bytes=16_000)
     assert labelled_sample(docs, labels.limit(0), "quality", 3, 1).num_rows == 0
+
+
+def test_toxicity_is_trained_on_every_labelled_row(spark, monkeypatch):
+    from tenderlens.llm import toxicity
+    from tenderlens.llm.common import fold_of
+
+    whole, seen = toxicity.fit_shards, []
+
+    def watched(shards, n_shards):
+        seen.append((n_shards, {r.doc_id for r in shards.select("doc_id").collect()}))
+        return whole(shards, n_shards, 4)
+
+    monkeypatch.setattr(toxicity, "fit_shards", watched)
+    docs = spark.createDataFrame([(i, f"word{i % 7} " + ("vilain " if i % 3 == 0 else "gentil ") * 2, "fr") for i in range(200)],
+                                 "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels, shard_docs=60)
+    n_shards, ids = seen[-1]
+    assert n_shards > 1 and ids == {i for i in range(200) if fold_of(i, 4) != 2}
+    rows = toxicity.score(docs, model, out="s").collect()
+    assert min(r.s for r in rows if r.doc_id % 3 == 0) > max(r.s for r in rows if r.doc_id % 3)
+    assert len(model.thresholds) >= 1 and None in model.thresholds
