@@ -178,15 +178,15 @@ def _set_dense(model: TextCnn, square: dict, flat: np.ndarray) -> None:
                 at += x.size
 
 
-def _moved_parts(model: TextCnn, square: dict, before: np.ndarray, squares_before: np.ndarray) -> pd.DataFrame:
-    """What a shard changed: table rows with their new squares, by part, and everything else."""
+def _moved_parts(model: TextCnn, square: dict, squares_before: np.ndarray) -> pd.DataFrame:
+    """What a shard changed: table rows as they are now with their new squares, by part, and everything else."""
     ids = np.flatnonzero(square["table"] != squares_before)
-    cuts = np.searchsorted(ids, np.arange(0, len(before) + PART, PART))
+    cuts = np.searchsorted(ids, np.arange(0, len(model.table) + PART, PART))
     found = [(_DENSE, b"", _dense(model, square).tobytes(), b"")]
     for part, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if high > low:
             some = ids[low:high]
-            found.append((part, some.astype(np.int64).tobytes(), (model.table[some] - before[some]).tobytes(),
+            found.append((part, some.astype(np.int64).tobytes(), model.table[some].tobytes(),
                           square["table"][some].tobytes()))
     return pd.DataFrame(found, columns=["part", "ids", "weights", "squares"])
 
@@ -213,10 +213,10 @@ def _shard_epochs(sent: Shared, epochs: range, seed: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id")
         model, square = copy.deepcopy(sent.value)
-        before, squares_before = model.table.copy(), square["table"].copy()
+        squares_before = square["table"].copy()
         docs = [(np.frombuffer(w, np.int32).reshape(-1, 3), int(e)) for w, e in zip(frame["words"], frame["end"], strict=True)]
         model.run_epochs(docs, frame["label"].to_numpy(np.float32), square, epochs, seed)
-        return _moved_parts(model, square, before, squares_before)
+        return _moved_parts(model, square, squares_before)
 
     return run
 
@@ -235,7 +235,7 @@ def fit_shards(shards: DataFrame, n_shards: int, epochs: int = EPOCHS, seed: int
                 _set_dense(model, square, np.frombuffer(row["weights"]))
             else:
                 ids = np.frombuffer(row["ids"], np.int64)
-                model.table[ids] += np.frombuffer(row["weights"], np.float32).reshape(-1, DIM)
+                model.table[ids] = np.frombuffer(row["weights"], np.float32).reshape(-1, DIM)
                 square["table"][ids] = np.frombuffer(row["squares"], np.float32)
     return model
 
