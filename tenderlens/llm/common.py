@@ -39,6 +39,10 @@ class Shared:
             self._sent._held = pickle.loads(self._sent.value)
         return self._sent._held
 
+    def destroy(self) -> None:
+        """Frees the copies in memory and on disk; nothing may use the object afterwards."""
+        self._sent.destroy()
+
 
 def fold(id_column: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id is in fold 0."""

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tenderlens.llm.common import Shared, LETTER, LOWER, SpanHash, chunks, split_runs, utf8
 from tenderlens.llm.training import SAMPLE_BYTES, SAMPLE_DOCS, labelled_rows
-from tenderlens.runtime import materialize
+from tenderlens.runtime import materialize, released
 
 ROWS = 1 << 16  # embedding rows per hash
 DIM = 8
@@ -61,6 +61,27 @@ def word_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, first, first + np.maximum(n_words, 1)
 
 
+_FIRST = np.arange(3, dtype=np.int32) * ROWS  # first embedding row of each hash
+
+
+def packed_words(rows: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The words of every text without padding, 16 bits a hash."""
+    found = []
+    for a, b in zip(first, end, strict=True):
+        words = rows[a:b]
+        found.append(b"" if words[0, 0] == 3 * ROWS else (words - _FIRST).astype("<u2").tobytes())
+    return found
+
+
+def unpacked_words(words: bytes) -> tuple[np.ndarray, int]:
+    """(embedding rows, end) of one text, as ``word_rows`` gives them."""
+    known = np.frombuffer(words, "<u2").reshape(-1, 3) + _FIRST
+    end = max(len(known), 1)
+    rows = np.full((end + max(WIDTHS) - 1, 3), 3 * ROWS, np.int32)
+    rows[:len(known)] = known
+    return rows, end
+
+
 class TextCnn:
     """Weights of the network; picklable, of fixed size (about 6 MB)."""
 
@@ -214,7 +235,7 @@ def _shard_epochs(sent: Shared, epochs: range, seed: int):
         frame = frame.sort_values("doc_id")
         model, square = copy.deepcopy(sent.value)
         squares_before = square["table"].copy()
-        docs = [(np.frombuffer(w, np.int32).reshape(-1, 3), int(e)) for w, e in zip(frame["words"], frame["end"], strict=True)]
+        docs = [unpacked_words(w) for w in frame["words"]]
         model.run_epochs(docs, frame["label"].to_numpy(np.float32), square, epochs, seed)
         return _moved_parts(model, square, squares_before)
 
@@ -222,15 +243,22 @@ def _shard_epochs(sent: Shared, epochs: range, seed: int):
 
 
 def fit_shards(shards: DataFrame, n_shards: int, epochs: int = EPOCHS, seed: int = 7) -> TextCnn:
-    """Fit on (shard, doc_id, words, end, label): an epoch over every shard, then the mean of what they changed.
+    """Fit on (shard, doc_id, words, label): an epoch over every shard, then the mean of what they changed.
 
-    One shard runs all epochs in one task.  The driver holds the weights alone.
+    One shard runs all epochs in one task.  The driver holds the weights alone; an epoch leaves
+    nothing on disk.
     """
+    spark = shards.sparkSession
     model = TextCnn()
     square = model.squares()
     for number in ([range(epochs)] if n_shards == 1 else [range(i, i + 1) for i in range(epochs)]):
-        moved = shards.groupBy("shard").applyInPandas(_shard_epochs(Shared(shards.sparkSession, (model, square)), number, seed), _MOVED)
-        for row in materialize(moved.groupBy("part").applyInPandas(_mean_part, _MOVED), "epoch").toLocalIterator():
+        sent = Shared(spark, (model, square))
+        moved = shards.select("shard", "doc_id", "words", "label").groupBy("shard").applyInPandas(
+            _shard_epochs(sent, number, seed), _MOVED)
+        with released(spark):
+            mean = moved.groupBy("part").applyInPandas(_mean_part, _MOVED).collect()  # one model, about 8 MB
+        sent.destroy()
+        for row in mean:
             if row["part"] == _DENSE:
                 _set_dense(model, square, np.frombuffer(row["weights"]))
             else:
@@ -255,23 +283,21 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray |
 
 
 def _shards(rows: DataFrame, n_shards: int) -> DataFrame:
-    """Stored (shard, doc_id, language, label, words, end, apart) of every labelled row."""
-    schema = ("shard int, doc_id long, language string, label int, words binary, end long")
+    """Stored (shard, doc_id, language, label, apart, words) of every labelled row."""
+    schema = "shard int, doc_id long, language string, label int, apart boolean, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            found, first, end = word_rows(batch.column(batch.schema.get_field_index("text")))
-            stop = np.append(first[1:], len(found))
-            words = [found[a:b].tobytes() for a, b in zip(first, stop, strict=True)]
-            column = {n: batch.column(batch.schema.get_field_index(n)) for n in ("shard", "doc_id", "language", "label")}
-            yield pa.RecordBatch.from_arrays([*column.values(), pa.array(words, pa.binary()), pa.array(end - first, pa.int64())],
-                                             [*column, "words", "end"])
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    stored = materialize(dealt.select("shard", F.col("doc_id").cast("long").alias("doc_id"), "language", "label", "text").mapInArrow(run, schema), "shards")
+            words = packed_words(*word_rows(batch.column(batch.schema.get_field_index("text"))))
+            kept = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(words, pa.binary())], [*kept.schema.names, "words"])
+
+    dealt = rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
+        "shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1
-    apart = stored.select("shard", "doc_id").withColumn("apart", place % 5 == 0)
-    return materialize(stored.join(apart, ["shard", "doc_id"]), "shards-apart")
+    apart = materialize(dealt.select("shard", "doc_id").withColumn("apart", place % 5 == 0), "apart")
+    placed = dealt.join(apart, ["shard", "doc_id"])
+    return materialize(placed.select("shard", "doc_id", "language", "label", "apart", "text").mapInArrow(run, schema), "shards")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", language: str = "lang",
@@ -327,12 +353,12 @@ def _score_words(shards: DataFrame, model: TextCnn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for words, end in zip(batch.column(3), batch.column(4).to_pylist(), strict=True):
-                rows = np.frombuffer(words.as_py(), np.int32).reshape(-1, 3)
+            for words in batch.column(3):
+                rows, end = unpacked_words(words.as_py())
                 found.append(shared.value.scores(rows, np.array([0]), np.array([end]))[0])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["doc_id", "language", "label", "score"])
 
-    return shards.select("doc_id", "language", "label", "words", "end").mapInArrow(
+    return shards.select("doc_id", "language", "label", "words").mapInArrow(
         run, "doc_id long, language string, label int, score double")
 
 

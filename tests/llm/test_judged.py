@@ -330,3 +330,32 @@ def test_toxicity_is_trained_on_every_labelled_row(spark, monkeypatch):
     rows = toxicity.score(docs, model, out="s").collect()
     assert min(r.s for r in rows if r.doc_id % 3 == 0) > max(r.s for r in rows if r.doc_id % 3)
     assert len(model.thresholds) >= 1 and None in model.thresholds
+
+
+def test_words_are_packed_without_loss():
+    from tenderlens.llm import toxicity
+
+    column = pa.array(["one two one", "", None, "élan ! x", "?!"], pa.string())
+    rows, first, end = toxicity.word_rows(column)
+    stop = np.append(first[1:], len(rows))
+    for words, a, b, z in zip(toxicity.packed_words(rows, first, end), first, stop, end, strict=True):
+        back, length = toxicity.unpacked_words(words)
+        assert back.dtype == rows.dtype and (back == rows[a:b]).all() and length == z - a
+        assert len(words) in (0, 6 * (z - a))
+
+
+def test_epochs_leave_no_shuffle_files(spark):
+    from tenderlens.llm import toxicity
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    rows = [(i % 2, i, ("vilain " if i % 3 == 0 else "gentil ") * 3, int(i % 3 == 0)) for i in range(60)]
+    shards = spark.createDataFrame(rows, "shard int, doc_id long, text string, label int")
+    words = {r.doc_id: toxicity.packed_words(*toxicity.word_rows(pa.array([r.text])))[0] for r in shards.collect()}
+    shards = spark.createDataFrame([(s, i, bytearray(words[i]), y) for s, i, _, y in rows],
+                                   "shard int, doc_id long, words binary, label int")
+    before = held()
+    toxicity.fit_shards(shards, 2, 3)
+    assert not held() - before

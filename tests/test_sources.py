@@ -113,3 +113,16 @@ def test_an_encoder_is_given_bounded_batches(spark):
     texts = spark.range(n).select(F.col("id").alias("uid"), F.when(F.col("id") > 0, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("objet"))
     rows = vector_store.encode(texts.coalesce(1), "m", lengths).collect()
     assert sorted((int(r.uid), r.model, r.vec) for r in rows) == [(i, "m", [float(i > 0), 0.0]) for i in range(n)]
+
+
+def test_storing_a_result_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    before, key = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(key, None)
+    stored = materialize(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("g")).count(), "counted")
+    assert {r.g: r["count"] for r in stored.collect()} == {g: len(range(g, 1000, 7)) for g in range(7)}
+    assert not held() - before
+    assert spark.conf.get(key, None) == set_before
