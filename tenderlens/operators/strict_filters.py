@@ -90,9 +90,11 @@ def filter_members(corpus: DataFrame, parsed: DataFrame, tie_break: Sequence[str
     """
     if "pop" not in corpus.columns:
         corpus = corpus.withColumn("pop", F.lit("all"))
+    # Stored before its quantiles are taken, so that what makes the corpus runs once.
+    rows = materialize(corpus.withColumn("row_id", F.monotonically_increasing_id()), "corpus-rows")
+    corpus = rows.drop("row_id")
     bounds = _bounds(corpus, parsed, region, amount)
     n_words = max(-(-bounds.count() // _WORD), 1)
-    rows = materialize(corpus.withColumn("row_id", F.monotonically_increasing_id()), "corpus-rows")
     of_region = materialize(bounds.groupBy("pop", F.col("region_key").alias("_region")).agg(F.collect_list(F.struct(
         F.expr(f"code div {_WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(code % {_WORD} as int))").alias("bit"),
         "needs_min", "min_amount")).alias("_filters")), "region-filters")

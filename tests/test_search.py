@@ -365,3 +365,19 @@ def test_scores_of_a_block_are_bounded(monkeypatch):
     got = top.rows().groupby("query_id")["uid"].apply(list)
     wanted = np.argsort(-np.round(asked @ x.T, module.SCORE_DIGITS), axis=1, kind="stable")[:, :7]
     assert max(held) <= 4_000 and [got[i] for i in range(90)] == wanted.tolist()
+
+
+def test_strict_filters_make_the_corpus_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def amount(uid):
+        made.add(1)
+        return float(uid)
+
+    corpus = spark.range(40).select(F.col("id").alias("uid"), F.lit("A").alias("acheteur_region_nom")).withColumn(
+        "montant", amount("uid"))
+    parsed = with_filter_id(spark.createDataFrame(
+        [(0, "A", None, True)], "query_id long, region string, montant_min double, montant_eleve_qualitatif boolean"))
+    assert {r.uid for r in apply_strict_filters(corpus, parsed, ["montant"]).collect()} == {36, 37, 38, 39}
+    assert made.value == 40
