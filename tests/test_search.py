@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlens.functions.vector import dot
+from tenderlens.operators import bm25
 from tenderlens.operators.bm25 import bm25_rank
 from tenderlens.operators.fusion import fuse_configs, reciprocal_rank_fusion
 from tenderlens.operators.query_log import parse_queries
@@ -381,3 +382,38 @@ def test_strict_filters_make_the_corpus_once(spark):
         [(0, "A", None, True)], "query_id long, region string, montant_min double, montant_eleve_qualitatif boolean"))
     assert {r.uid for r in apply_strict_filters(corpus, parsed, ["montant"]).collect()} == {36, 37, 38, 39}
     assert made.value == 40
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_bm25_scores_stay_with_their_documents(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    words = [f"mot{i:02d}" for i in range(30)]
+    uids = [*range(180), *range(15), None, None]  # some documents are in several rows
+    rows = [(f"s{i % 3}" if i % 11 else None, u, " ".join(rng.choice(words, rng.integers(0, 14)))) for i, u in enumerate(uids)]
+    corpus = spark.createDataFrame(rows, "set_id string, uid long, objet string").withColumn(
+        "uid", F.col("uid").cast(kind)).repartition(3)
+    sets = spark.createDataFrame([("s0", "f"), ("s1", "f"), ("s1", "g"), ("s2", "g"), ("s2", "h")], "set_id string, filter_id string")
+    asked = spark.createDataFrame(
+        [(i, "fgh"[i % 3], " ".join(rng.choice(words, 4))) for i in range(12)]
+        + [(None, "g", "mot01 mot01"), (3, "g", "mot02"), (20, "f", "absent"), (21, "nulle part", "mot01")],
+        "query_id int, filter_id string, texte_libre string")
+
+    def ranked(zeros):
+        got = bm25_rank(corpus, asked, 7, include_zero_scores=zeros, sets=sets)
+        return sorted(map(repr, got.select("query_id", "uid", F.round("bm25_score", 6), "rank").collect()))
+
+    monkeypatch.setattr(bm25, "MAX_INLINE_TERMS", 0)
+    grouped = [ranked(True), ranked(False)]
+    monkeypatch.undo()
+    assert [ranked(True), ranked(False)] == grouped
+    monkeypatch.setattr(bm25, "SCORE_CELLS", 16)
+    assert [ranked(True), ranked(False)] == grouped
+
+    # What leaves a task is bounded by the queries, not by the documents.
+    plain = spark.range(4000, numPartitions=2).select(F.lit("s0").alias("set_id"), F.col("id").alias("uid"), F.lit("mot01 mot02").alias("objet"))
+    docs = bm25.tokenised(plain)
+    terms = spark.createDataFrame([(q, "f", "mot01", 1, 1.0, 2.0) for q in range(5)],
+                                  "query_id int, filter_id string, token string, qtf long, idf double, avgdl double")
+    best = bm25._best_scores(docs, sets, terms, 7)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+    assert best.count() == 7 * 5 * docs.rdd.getNumPartitions()
