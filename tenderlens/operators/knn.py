@@ -7,18 +7,24 @@
 3. Inside its own cell every point finds k neighbours: an upper bound radius.
 4. The point then asks only those other cells whose box its ball touches.  Boxes form a tree:
    the regions' are sent to all tasks, those of a region's cells stay in a table, and requests
-   to a split region travel to it first.  The candidates of all cells merge into the exact k
-   nearest.
+   to a split region travel to it first.  The candidates of all cells go back to the point's own
+   cell, packed by request, and merge there into the exact k nearest.
+5. Neighbours stay packed by cell.  What is known of a point later (``neighbour_values``) travels
+   once to each cell that has it as a neighbour, not once per neighbour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tenderlens.runtime import materialize
 
@@ -29,7 +35,7 @@ FAN = 1024              # parts that a cell is split into at most
 SAMPLE_ROWS = 262_144   # bounds the sample that shapes the first level
 CELL_SAMPLE = 32_768    # bounds, in the mean, the sample that shapes one further split
 REQUEST_ROWS = 8192     # requests answered by one group
-_CHUNK = 512
+LEAF = 64               # close points whose neighbours are looked for together
 
 
 def collapse_points(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
@@ -161,55 +167,115 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _nearest(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, ids: np.ndarray,
-             k: int, radius: np.ndarray | None = None,
-             same: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Nearest points of every query until their weights add up to ``k``.
+def _leaves(xs: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows in groups of at most ``size`` close ones, by cuts at the middle of the widest side."""
+    out, stack = [], [np.arange(len(xs))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        widest = int(np.ptp(xs[rows], axis=0).argmax())
+        order = np.argpartition(xs[rows, widest], len(rows) // 2)
+        stack += [rows[order[len(rows) // 2:]], rows[order[:len(rows) // 2]]]
+    return out
+
+
+def _within(points: np.ndarray, xs: np.ndarray, reach: float) -> np.ndarray:
+    """The points no further than ``reach`` from the box of ``xs`` on any side."""
+    low, high = xs.min(axis=0), xs.max(axis=0)
+    return np.flatnonzero((np.maximum(low - points, points - high) <= reach * (1 + 1e-12)).all(axis=1))
 
-    Returns flat (query row, point row, distance, weight) and per query the radius
-    within which its k nearest lie (infinite when these points do not suffice).
-    ``same`` gives the row of a query's own point, of which one copy is itself;
-    ``radius`` drops points that cannot improve a known bound.
+
+def _nearest(points: np.ndarray, queries: np.ndarray, weights: np.ndarray, ranks: np.ndarray, k: int,
+             radius: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Nearest other points of the points at ``queries`` until their weights add up to ``k``.
+
+    Returns flat (position in ``queries``, point row, distance, weight), by position, and per
+    query the radius within which its k nearest lie (infinite when these points do not suffice).
+    A point is its own neighbour in all its copies but one; equal distances go by ``ranks``.
+    ``radius`` is a known bound on that radius.
     """
-    id_order = np.empty(len(ids), dtype="int64")
-    id_order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    out = []
+    out = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64"))]
     reach = np.full(len(queries), np.inf)
-    for start in range(0, len(queries), _CHUNK):
-        rows = np.arange(start, min(start + _CHUNK, len(queries)))
-        distance = _distances(queries[rows], points)
+    for rows in _leaves(points[queries], LEAF):
+        own = queries[rows]
+        xs = points[own]
+        if radius is not None:
+            bound = radius[rows].max()
+        elif len(rows) > k:  # each other point weighs at least 1
+            bound = np.partition(_distances(xs, xs), k, axis=1)[:, k].max()
+        else:
+            bound = np.inf
+        near_by = _within(points, xs, bound)
+        distance = _distances(xs, points[near_by])
         n = distance.shape[1]
         # Each other point weighs at least 1, so the k + 1 smallest suffice; points that
-        # tie with the last of them are candidates too, and the id decides.
+        # tie with the last of them are candidates too, and the rank decides.
         width = min(k + 1, n)
         last = np.partition(distance, width - 1, axis=1)[:, width - 1:width]
         width = int((distance <= last).sum(axis=1).max())
         near = np.argpartition(distance, width - 1, axis=1)[:, :width] if width < n else \
             np.broadcast_to(np.arange(n), distance.shape)
         gap = np.take_along_axis(distance, near, axis=1)
-        order = np.lexsort((id_order[near], gap), axis=-1)
-        near, gap = np.take_along_axis(near, order, axis=1), np.take_along_axis(gap, order, axis=1)
-        weight = weights[near].astype("int64")
-        if same is not None:
-            weight = weight - (near == same[rows][:, None])
+        order = np.lexsort((ranks[near_by][near], gap), axis=-1)
+        near, gap = near_by[np.take_along_axis(near, order, axis=1)], np.take_along_axis(gap, order, axis=1)
+        weight = weights[near].astype("int64") - (near == own[:, None])
         total = np.cumsum(weight, axis=1)
         used = (weight > 0) & (total - weight < k)
-        if radius is not None:
-            used &= gap <= radius[rows][:, None]
         full = total[:, -1] >= k
         reach[rows] = np.where(full, np.where(used, gap, 0.0).max(axis=1), np.inf)
         r, c = np.nonzero(used)
         out.append((rows[r], near[r, c], gap[r, c], weight[r, c]))
-    return (*(np.concatenate(parts) for parts in zip(*out, strict=True)), reach)
+    row, col, d, w = (np.concatenate(parts) for parts in zip(*out, strict=True))
+    order = np.argsort(row, kind="stable")
+    return row[order], col[order], d[order], w[order], reach
 
 
-def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (),
-             cell_points: int = CELL_POINTS, regions: int = REGIONS) -> DataFrame:
-    """Exact k nearest other rows of every distinct point.
+def _wanted(xs: np.ndarray, radius: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+    """The points that are among the k nearest here, and within its radius, of any of ``xs``."""
+    found = np.zeros(len(points), bool)
+    for rows in _leaves(xs, LEAF):
+        near_by = _within(points, xs[rows], radius[rows].max())
+        if not len(near_by):
+            continue
+        distance, bound = _distances(xs[rows], points[near_by]), radius[rows]
+        crowded = np.flatnonzero((distance <= bound[:, None]).sum(axis=1) > k)
+        if len(crowded):
+            bound = bound.copy()
+            bound[crowded] = np.partition(distance[crowded], k - 1, axis=1)[:, k - 1]
+        found[near_by[(distance <= bound[:, None]).any(axis=0)]] = True
+    return np.flatnonzero(found)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _matrix(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).to_numpy().astype("float64") for c in names])
 
-    ``points`` comes from ``collapse_points``.  The result has one row per (pid,
-    nid): distance ``d`` and ``used``, the copies of nid among the k neighbours.
-    Equal distances are ordered by the lowest uid.  k is clamped to n - 1.  ``regions`` bounds
+
+def _lists(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.ListArray:
+    """``values`` cut into lists of these lengths."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("int32")), values)
+
+
+def _ranks(ids: pa.Array, ties: str = "first") -> np.ndarray:
+    return pc.rank(ids, sort_keys="ascending", tiebreaker=ties).to_numpy().astype("int64")
+
+
+def knn_cells(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (),
+              cell_points: int = CELL_POINTS, regions: int = REGIONS, distances: bool = False) -> DataFrame:
+    """Exact k nearest other rows of every distinct point, stored packed by cell.
+
+    ``points`` comes from ``collapse_points``.  A row holds points of one (region, cell), a part of
+    the cell where its points asked many others: ``pid`` and ``x_`` with a column's name hold its points, ``kd`` their
+    distance to the last neighbour, ``n`` how many entries of ``at`` and ``used`` (and of ``d``, with
+    ``distances``) are a point's.  ``at`` names a neighbour by its place in ``ids``; ``homes`` tells the cells these lie
+    in.  Equal distances are ordered by the lowest uid.  k is clamped to n - 1.  ``regions`` bounds
     what every task is sent, not the number of cells.
     """
     by, names = list(by), list(columns)
@@ -275,36 +341,35 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
     by_ddl = "".join(f"{c} {types[c]}, " for c in by)
     x_ddl = "".join(f"{c} double, " for c in names)
 
-    def key_of(pdf: pd.DataFrame) -> tuple:
-        return tuple(pdf[c].iloc[0].item() if hasattr(pdf[c].iloc[0], "item") else pdf[c].iloc[0]
-                     for c in by)
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Neighbours within the cell, then the (point, region) requests."""
-        regions_, split, low, high, k_here = shared.value[key_of(pdf)]
-        xs, ids = pdf[names].to_numpy("float64"), pdf["pid"].to_numpy()
-        if k_here == 0:
-            return pd.DataFrame(columns=[*by, *names, "pid", "radius", "region", "cell", "nid", "d", "w"])
-        row, col, d, w, radius = _nearest(
-            xs, xs, pdf["w"].to_numpy(), ids, k_here, same=np.arange(len(xs)))
-        # A split region has more cells than one's own, which ``cell`` names.
-        others = np.flatnonzero((regions_ != int(pdf["region"].iloc[0])) | split)
-        asks, box = _touched(xs, radius, low[others], high[others])
-        rows, asked = np.concatenate([row, asks]), regions_[others[box]]
-        own = np.where(asked == int(pdf["region"].iloc[0]), int(pdf["cell"].iloc[0]), 0)
-        return pd.DataFrame({
-            **{c: pdf[c].to_numpy()[rows] for c in by}, **{c: pdf[c].to_numpy()[rows] for c in names},
-            "pid": ids[rows], "radius": radius[rows],
-            "region": np.concatenate([np.full(len(row), -1), asked]).astype("int32"),
-            "cell": np.concatenate([np.zeros(len(row), dtype="int64"), own]),
-            "nid": np.concatenate([ids[col], ids[asks]]),
-            "d": np.concatenate([d, np.zeros(len(asks))]),
-            "w": np.concatenate([w, np.zeros(len(asks), dtype="int64")])})
-
-    # Rows with region -1 are neighbours, the others ask that region.
-    local = materialize(placed.groupBy(*by, "region", "cell").applyInPandas(
-        inside, f"{by_ddl}{x_ddl}pid {pid_type}, radius double, region int, cell long, nid {pid_type}, d double, w long"),
-        "knn_local")
+    def key_of(table: pa.Table) -> tuple:
+        return tuple(table.column(c)[0].as_py() for c in by)
+
+    local_ddl = (f"{by_ddl}{x_ddl}pid {pid_type}, w long, radius double, region int, cell long, "
+                 f"part int, parts int, asks array<int>")
+    local_type = to_arrow_schema(StructType.fromDDL(local_ddl))
+
+    def inside(table: pa.Table) -> pa.Table:
+        """The radius of every point within the cell, and the regions it has to ask."""
+        regions_, split, low, high, k_here = shared.value[key_of(table)]
+        xs, n = _matrix(table, names), len(table)
+        radius, asks, asked = np.zeros(n), np.zeros(0, "int64"), np.zeros(0, "int32")
+        if k_here:
+            radius = _nearest(xs, np.arange(n), table.column("w").to_numpy(), _ranks(_whole(table.column("pid"))), k_here)[-1]
+            # A split region has more cells than one's own.
+            others = np.flatnonzero((regions_ != table.column("region")[0].as_py()) | split)
+            asks, box = _touched(xs, radius, low[others], high[others])
+            order = np.argsort(asks, kind="stable")
+            asks, asked = asks[order], regions_[others[box[order]]]
+        counts = np.bincount(asks, minlength=n)
+        part = np.cumsum(counts) // REQUEST_ROWS  # points of a cell that ask much are answered apart
+        return pa.Table.from_arrays([
+            *(table.column(c) for c in (*by, *names, "pid", "w")), pa.array(radius), table.column("region"),
+            table.column("cell"), pa.array(part), pa.array(np.full(n, part[-1] + 1)), _lists(asked, counts)],
+            names=local_type.names).cast(local_type)
+
+    local = materialize(placed.groupBy(*by, "region", "cell").applyInArrow(inside, local_ddl), "knn_local")
+
+    home = ["home_region", "home_cell", "home_part"]
 
     def shares(requests: DataFrame, keys: list[str]) -> DataFrame:
         """In how many groups the requests of a key are answered."""
@@ -313,59 +378,173 @@ def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str
 
     def dealt(requests: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
         return requests.join(load, keys).withColumn(
-            "part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
+            "part", F.pmod(F.xxhash64(*home), F.col("parts")).cast("int"))
 
     def copied(rows: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
         return rows.join(load, keys).withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
+    request_columns = [*by, *names, "radius", *home, "region", "cell"]
+
     def route(req: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         """Requests to a split region, sent on to its cells but the point's own."""
         if req.empty or cells.empty:
-            return pd.DataFrame({c: [] for c in [*by, *names, "pid", "radius", "region", "cell"]})
+            return pd.DataFrame({c: [] for c in request_columns})
         row, box = _touched(req[names].to_numpy("float64"), req["radius"].to_numpy(),
                             cells[lows].to_numpy("float64"), cells[highs].to_numpy("float64"))
-        cell = cells["cell"].to_numpy()[box]
-        sent = req.iloc[row].assign(cell=cell)[cell != req["cell"].to_numpy()[row]]
-        return sent[[*by, *names, "pid", "radius", "region", "cell"]]
+        sent = req.iloc[row].assign(cell=cells["cell"].to_numpy()[box])
+        own = (sent["region"] == sent["home_region"]) & (sent["cell"] == sent["home_cell"])
+        return sent.loc[~own, request_columns]
 
-    requests = local.filter("region >= 0").select(*by, *names, "pid", "radius", "region", "cell")
+    requests = local.select(*by, *names, "radius", F.col("region").alias("home_region"), F.col("cell").alias(
+        "home_cell"), F.col("part").alias("home_part"), F.explode("asks").alias("region"), F.lit(0).cast("long").alias("cell"))
     if boxes["split"].any():
         fine = materialize(placed.filter("cell > 0").groupBy("region", "cell").agg(*edges), "cell_boxes")
-        inner = requests.join(fine.select("region").distinct(), "region", "left_semi")
+        inner = requests.join(fine.select("region").distinct(), "region", "left_semi").select(*request_columns)
         load = shares(inner, ["region"])
         sent = dealt(inner, load, ["region"]).drop("parts").groupBy("region", "part").cogroup(
             copied(fine, load, ["region"]).drop("parts").groupBy("region", "part")).applyInPandas(
             route, requests.schema)
         requests = materialize(requests.join(fine.select("region").distinct(), "region", "left_anti").select(
-            *requests.columns).unionByName(sent), "knn_routed")
+            *request_columns).unionByName(sent), "knn_routed")
     keys = ["region", "cell"]
     load = shares(requests, keys)
 
-    def across(req: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if req.empty or pdf.empty:
-            return pd.DataFrame({c: [] for c in [*by, "pid", "nid", "d", "w"]})
-        ids = pdf["pid"].to_numpy()
-        row, col, d, w, _ = _nearest(
-            req[names].to_numpy("float64"), pdf[names].to_numpy("float64"), pdf["w"].to_numpy(), ids,
-            shared.value[key_of(req)][4], radius=req["radius"].to_numpy())
-        return pd.DataFrame({**{c: req[c].to_numpy()[row] for c in by}, "pid": req["pid"].to_numpy()[row],
-                             "nid": ids[col], "d": d, "w": w})
-
-    remote = dealt(requests, load, keys).select(*by, *keys, "part", *names, "pid", "radius").groupBy(
+    remote_ddl = f"home_region int, home_cell long, home_part int, {x_ddl}pid {pid_type}, w long, region int, cell long"
+    remote_type = to_arrow_schema(StructType.fromDDL(remote_ddl))
+
+    def across(req: pa.Table, table: pa.Table) -> pa.Table:
+        """The points of this cell that the asking ones of a part need, once a part."""
+        if not len(req) or not len(table):
+            return remote_type.empty_table()
+        xs, radius, points = _matrix(req, names), req.column("radius").to_numpy(), _matrix(table, names)
+        asking, of = np.unique(np.stack([req.column(c).to_numpy() for c in home]), axis=1, return_inverse=True)
+        order, k_here = np.argsort(of.ravel(), kind="stable"), shared.value[key_of(req)][4]
+        found = [_wanted(xs[rows], radius[rows], points, k_here)
+                 for rows in np.split(order, np.cumsum(np.bincount(of.ravel()))[:-1])]
+        col = pa.array(np.concatenate(found))
+        return pa.Table.from_arrays([*(pa.array(np.repeat(x, [len(f) for f in found])) for x in asking),
+                                     *(table.column(c).take(col) for c in (*names, "pid", "w", *keys))],
+                                    names=remote_type.names).cast(remote_type)
+
+    remote = dealt(requests, load, keys).select(*by, *keys, "part", *home, *names, "radius").groupBy(
         *keys, "part").cogroup(
-        copied(placed, load, keys).select(*by, *keys, "part", *names, "pid", "w").groupBy(*keys, "part")
-    ).applyInPandas(across, f"{by_ddl}pid {pid_type}, nid {pid_type}, d double, w long")
-
-    near = local.filter("region < 0").select(*by, "pid", "nid", "d", "w").unionByName(remote)
-    upto = Window.partitionBy(*by, "pid").orderBy("d", "nid").rowsBetween(Window.unboundedPreceding, 0)
-    limit = F.lit(k)
-    if len(set(clamp.values())) == 1:
-        limit = F.lit(next(iter(clamp.values())))
-    elif by:
-        kmap = F.create_map(*[x for key, v in clamp.items() for x in (F.lit(key[0]), F.lit(v))])
-        limit = F.element_at(kmap, F.col(by[0]))
-    taken = near.withColumn("_before", F.sum("w").over(upto) - F.col("w")).filter(
-        F.col("_before") < limit)
-    return taken.select(*by, "pid", "nid", "d",
-                        F.least(F.col("w"), limit - F.col("_before")).alias("used"))
+        copied(placed, load, keys).select(*keys, "part", *names, "pid", "w").groupBy(*keys, "part")
+    ).applyInArrow(across, remote_ddl)
+
+    near_ddl = (f"{by_ddl}region int, cell long, part int, pid array<{pid_type}>, "
+                + "".join(f"x_{c} array<double>, " for c in names)
+                + ("d array<double>, " if distances else "") + "kd array<double>, n array<int>, at binary, used array<int>, "
+                f"ids array<{pid_type}>, homes array<struct<region:int,cell:bigint,start:int,n:int>>")
+    near_type = to_arrow_schema(StructType.fromDDL(near_ddl))
+
+    def merged(cell: pa.Table, answers: pa.Table) -> pa.Table:
+        """The k nearest of the points of a part, among those of the cell and what others sent."""
+        if not len(cell):
+            return near_type.empty_table()
+        tables = [cell, answers] if len(answers) else [cell]
+        ids = pa.concat_arrays([_whole(t.column("pid")) for t in tables])
+        xs = np.concatenate([_matrix(t, names) for t in tables])
+        region, of_cell, w = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in (*keys, "w"))
+        mine = np.flatnonzero(cell.column("part").to_numpy() == cell.column("_part").to_numpy())
+        k_here = shared.value[key_of(cell)][4]
+        row, col, d, used = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64")
+        if k_here:
+            row, col, d, w, _ = _nearest(xs, mine, w, _ranks(ids), k_here, cell.column("radius").to_numpy()[mine])
+            total = np.cumsum(w)
+            before = total - w
+            before -= np.concatenate([[0], total])[np.searchsorted(row, np.arange(len(mine)))][row]
+            used = np.minimum(w, k_here - before)
+        counts = np.bincount(row, minlength=len(mine))
+        kd = np.full(len(mine), np.nan)
+        kd[counts > 0] = d[(np.cumsum(counts) - 1)[counts > 0]]
+        # Every neighbour once, by home cell.
+        one, at = np.unique(col, return_inverse=True)
+        order = np.lexsort((one, of_cell[one], region[one]))
+        place = np.empty(len(one), "int64")
+        place[order] = np.arange(len(one))
+        one = one[order]
+        homes = np.stack([region[one], of_cell[one]])
+        starts = np.flatnonzero(np.concatenate([[True], (homes[:, 1:] != homes[:, :-1]).any(axis=0)])[:len(one)])
+        homes = [{"region": int(region[i]), "cell": int(of_cell[i]), "start": int(s), "n": int(m)} for i, s, m in zip(
+            one[starts], starts, np.diff([*starts, len(one)]), strict=True)]
+        packed = [ids.take(pa.array(mine)), *xs[mine].T, *([d] if distances else []), kd, counts, used,
+                  ids.take(pa.array(one)), pa.array(homes, near_type.field("homes").type.value_type)]
+        columns_ = [_lists(np.ascontiguousarray(x) if isinstance(x, np.ndarray) else x, np.array([len(x)])) for x in packed]
+        at = pa.array([place[at].astype(_place_type(len(one))).tobytes()], pa.binary())
+        columns_.insert(len(columns_) - 3, at)
+        return pa.Table.from_arrays([*(cell.column(c).slice(0, 1) for c in (*by, *keys, "_part")), *columns_],
+                                    names=near_type.names).cast(near_type)
+
+    own = local.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        *by, *keys, *names, "pid", "w", "radius", "part", "_part")
+    near = own.groupBy(*keys, "_part").cogroup(remote.groupBy(*home)).applyInArrow(merged, near_ddl)
+    return materialize(near, "neighbours")
+
+
+def _place_type(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def places(at: bytes, n: int) -> np.ndarray:
+    """The places, among ``n`` ids, that ``at`` of ``knn_cells`` holds."""
+    return np.frombuffer(at, _place_type(n)).astype("int64")
+
+
+def neighbour_values(near: DataFrame, values: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """What ``near`` (of ``knn_cells``) needs to look up columns of its neighbours.
+
+    ``values`` has region, cell and, as arrays, ``pid`` and the ``wanted`` columns.  A row of the result
+    is for the row (region, cell, part) of ``near``: ``found`` holds the values, side by side, of its ``ids``
+    from ``start`` on, null for an unknown id.  An id that several points of a row have as a neighbour travels once.
+    """
+    keys = ["region", "cell"]
+    asks = near.select("region", "cell", "part", "ids", F.explode("homes").alias("_h")).select(
+        F.col("_h.region").alias("region"), F.col("_h.cell").alias("cell"), F.col("region").alias("to_region"),
+        F.col("cell").alias("to_cell"), "part", F.col("_h.start").alias("start"),
+        F.slice("ids", F.col("_h.start") + 1, F.col("_h.n")).alias("ids"))
+    schema = "region int, cell long, part int, start int, found array<double>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def look_up(req: pa.Table, table: pa.Table) -> pa.Table:
+        if not len(req) or not len(table):
+            return arrow.empty_table()
+        ids = _whole(req.column("ids"))
+        at = pc.index_in(ids.flatten(), value_set=_whole(table.column("pid")).flatten(), skip_nulls=True)
+        found = np.column_stack([_whole(table.column(c)).flatten().take(at).to_numpy(zero_copy_only=False) for c in wanted])
+        return pa.Table.from_arrays([*(req.column(c) for c in ("to_region", "to_cell", "part", "start")), _lists(
+            found.ravel(), pc.list_value_length(ids).to_numpy() * len(wanted))], names=arrow.names).cast(arrow)
+
+    return asks.groupBy(*keys).cogroup(values.select(*keys, "pid", *wanted).groupBy(*keys)).applyInArrow(look_up, schema)
+
+
+def gathered(found: pa.Table, size: int, width: int = 1) -> np.ndarray:
+    """The values of a row's ids in their order, NaN where there is none."""
+    out = np.full((size, width), np.nan)
+    for start, values in zip(found.column("start").to_pylist(), _whole(found.column("found")), strict=True):
+        part = values.values.to_numpy(zero_copy_only=False).reshape(-1, width)
+        out[start:start + len(part)] = part
+    return out
+
+
+def knn_self(points: DataFrame, columns: Sequence[str], k: int, by: Sequence[str] = (),
+             cell_points: int = CELL_POINTS, regions: int = REGIONS) -> DataFrame:
+    """``knn_cells`` with one row per (pid, nid): distance ``d`` and ``used``, the copies of nid
+    among the k neighbours."""
+    near = knn_cells(points, columns, k, by, cell_points, regions, distances=True)
+    types = dict(points.dtypes)
+    schema = "".join(f"{c} {types[c]}, " for c in by) + f"pid {types['pid']}, nid {types['pid']}, d double, used long"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {c: batch.column(c)[i] for c in batch.schema.names}
+                n = cell["n"].values.to_numpy()
+                point = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.repeat(cell[c], len(point)) for c in by), cell["pid"].values.take(point),
+                    cell["ids"].values.take(pa.array(places(cell["at"].as_py(), len(cell["ids"].values)))), cell["d"].values, cell["used"].values.cast("int64")],
+                    names=arrow.names).cast(arrow)
+
+    return near.select(*by, "pid", "n", "at", "d", "used", "ids").mapInArrow(run, schema)

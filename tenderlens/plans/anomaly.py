@@ -40,7 +40,7 @@ def both_methods(df: DataFrame, tie_break: Sequence[str], contamination: float =
                  n_trees: int = 100) -> DataFrame:
     """One row per contract with both flags, joined on the contract, not by position."""
     by = list(by)
-    scaled = scaled_features(df, tie_break, log_scale, by)
+    scaled = scaled_features(df, tie_break, log_scale, by).select(*by, "uid", *_Z)
     forest = isolation_forest(scaled, _Z, by, contamination, n_trees=n_trees).select(
         *by, "uid", "anomaly_score_iforest", "is_anomaly_iforest")
     factor = lof(scaled, _Z, by, contamination, n_neighbors).select(

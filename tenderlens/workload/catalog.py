@@ -12,7 +12,7 @@ from tenderlens.functions.numeric import signed_log
 from tenderlens.operators import bm25, cleaning, fusion, peers, quality, query_log, ranks, strict_filters
 from tenderlens.operators import contracts as grain
 from tenderlens.operators import vectors as vec
-from tenderlens.operators.knn import collapse_points, knn_self
+from tenderlens.operators.knn import collapse_points, knn_cells, knn_self
 from tenderlens.operators.lof import lof_scores
 from tenderlens.plans import anomaly, evaluation, prediction, search
 from tenderlens.runtime import materialize, shared_path
@@ -572,8 +572,7 @@ def lof_score(spark, sf):
     columns = ["montant", "dureeMois"]
     first = grain.dedup_contracts(_detection_input(spark, sf), b.TIE_BREAK)
     points = materialize(collapse_points(first, columns), "points")
-    near = materialize(knn_self(points, columns, 5), "neighbours")
-    return rounded(lof_scores(points, near, columns))
+    return rounded(lof_scores(points, knn_cells(points, columns, 5), columns))
 
 
 @registered

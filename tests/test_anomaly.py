@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from tenderlens.functions.numeric import signed_log
 from tenderlens.operators import knn
+from tenderlens.operators import lof as lof_module
 from tenderlens.operators.knn import collapse_points, knn_self
 from tenderlens.operators.lof import lof
 from tenderlens.operators.peers import FEATURES, feature_matrix, peer_deviation
 from tenderlens.operators.quantile import exact_quantiles
 from tenderlens.operators.ranks import assign_folds, sample_exact, split_train_test
 from tenderlens.plans import anomaly
+from tenderlens.runtime import materialize
 
 
 def contracts(n=100, seed=0):
@@ -93,6 +95,35 @@ def test_lof_equals_brute_force_with_a_third_copies(spark):
     assert list(got["is_anomaly_lof"]) == list(want < np.quantile(want, 0.05))
 
 
+def test_lof_with_equal_distances_and_an_unknown_id(spark):
+    """On a grid the lowest id decides; a point without an id has no score and counts in no other's."""
+    grid = np.array([(a, b) for a in range(24) for b in range(24)], dtype="float64")
+    x = np.random.default_rng(4).permutation(grid)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("ab")).assign(uid=np.arange(len(x))))
+    got = lof(df, list("ab"), n_neighbors=7, cell_points=40).orderBy("uid").toPandas()
+    assert np.allclose(got["anomaly_score_lof"], brute_lof(x, 7), rtol=1e-9)
+    some = lof(df.withColumn("uid", F.when(F.col("uid") != 100, F.col("uid"))), list("ab"), n_neighbors=7, cell_points=40)
+    scores = {r["uid"]: r["anomaly_score_lof"] for r in some.collect()}
+    assert scores.pop(None) is None and None not in scores.values()
+
+
+def test_neighbours_stay_packed(spark, monkeypatch):
+    """No stored step has a row per neighbour."""
+    kept = {}
+
+    def spy(df, label):
+        kept[label] = materialize(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(knn, "materialize", spy)
+    monkeypatch.setattr(lof_module, "materialize", spy)
+    x = np.random.default_rng(6).normal(size=(4000, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("ab")).assign(uid=np.arange(len(x))))
+    assert lof(df, list("ab"), n_neighbors=20, cell_points=200).count() == 4000
+    rows = {label: step.count() for label, step in kept.items()}
+    assert max(rows.values()) <= 4000 and rows["neighbours"] <= 200
+
+
 def test_neighbours_per_group_and_clamped_k(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(400, 2)), 1)
