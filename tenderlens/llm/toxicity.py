@@ -97,14 +97,16 @@ class TextCnn:
         self.thresholds: dict[str | None, float] = {}
 
     def _maps(self, rows: np.ndarray):
-        """Filter responses at every position."""
-        x = self.table[rows].reshape(len(rows), 3 * DIM)
+        """Filter responses at every position, each filter's side by side in memory."""
         n = len(rows)
+        x = self.table.take(rows.ravel(), axis=0).reshape(n, 3 * DIM).T
         for f, b in zip(self.filters, self.bias, strict=True):
-            y = np.tile(b, (n, 1))
-            for j in range(len(f)):
-                y[:n - j] += x[j:] @ f[j]
-            yield y
+            parts = (f.transpose(0, 2, 1).reshape(-1, 3 * DIM) @ x).reshape(len(f), FILTERS, n)
+            y = parts[0]
+            y += b[:, None]
+            for j in range(1, len(f)):
+                y[:, :n - j] += parts[j][:, j:]
+            yield y.T
 
     def scores(self, rows: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not len(first):
@@ -171,7 +173,7 @@ class TextCnn:
                     self.bias[k] -= RATE * g.sum(0) / np.sqrt(square["bias"][k])
                 ids, inverse = np.unique(np.concatenate(touched), return_inverse=True)
                 moved = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(moved, inverse, np.concatenate(pushed))
+                np.add.at(moved.reshape(-1), (inverse[:, None] * DIM + np.arange(DIM)).ravel(), np.concatenate(pushed).ravel())
                 moved[ids == len(self.table) - 1] = 0
                 square["table"][ids] += (moved ** 2).mean(1)
                 self.table[ids] -= RATE * moved / np.sqrt(square["table"][ids])[:, None]

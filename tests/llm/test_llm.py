@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -428,6 +429,35 @@ def test_quality_held_out(spark):
     assert held_out(spark, scored, "quality", 3, 1, F.col("q") >= 0.5) > 0.95
 
 
+def test_filter_responses_take_less_time_than_plain_ones():
+    """The same floats as one product after the other, in less CPU time."""
+    rng, model = np.random.default_rng(5), toxicity.TextCnn()
+    for bias in model.bias:
+        bias += rng.normal(0, 0.1, bias.shape).astype(np.float32)
+    rows = (rng.integers(0, toxicity.ROWS, (12_000, 3)) + np.arange(3) * toxicity.ROWS).astype(np.int32)
+
+    def plain():
+        x, n = model.table[rows].reshape(len(rows), -1), len(rows)
+        for f, b in zip(model.filters, model.bias, strict=True):
+            y = np.tile(b, (n, 1))
+            for j in range(len(f)):
+                y[:n - j] += x[j:] @ f[j]
+            yield y
+
+    for got, want in zip(model._maps(rows), plain(), strict=True):
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-6)
+
+    def best(run):
+        spent = []
+        for _ in range(15):
+            start = time.process_time()
+            list(run())
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    assert best(lambda: model._maps(rows)) < 0.85 * best(plain)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
